@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
 from .series import BLOCK_BARS, KEYS, blocked
 
 MIN_TARGET = 0.01
@@ -41,7 +42,8 @@ def bracket_exits(targets: DataFrame, keys: Sequence[str] = (*KEYS, "config"), s
     block that can hold it from one summary row a block, and then the bar in that block,
     so there is no horizon and no task sees more than one block.
     """
-    df = blocked(targets.filter(F.col("bar_no") >= 0), keys, size)
+    # read four times below, so it is written once
+    df = cut_lineage(blocked(targets, keys, size))
     cols = [*keys, "_blk", "bar_no", "close", "target_position", "profit_take"]
     slim = df.select(*cols, "stop_loss", "take_profit")
     types = {f.name: f.dataType.simpleString() for f in df.schema.fields}
@@ -56,7 +58,7 @@ def bracket_exits(targets: DataFrame, keys: Sequence[str] = (*KEYS, "config"), s
         e = e.rename(columns={"bar_no": "entry_no", "close": "entry_price"})
         e = e.assign(side=np.sign(e["target_position"]))
         return e[names].assign(exit_no=_first_exit(bars, e))
-    own = slim.groupBy(*keys, "_blk").applyInPandas(inside, schema)
+    own = cut_lineage(slim.groupBy(*keys, "_blk").applyInPandas(inside, schema))
     done = own.filter(F.col("exit_no") >= 0)
     later = own.filter(F.col("exit_no") < 0).drop("exit_no")
     blocks = df.groupBy(*keys, F.col("_blk").alias("_b")).agg(
@@ -82,8 +84,8 @@ def bracket_exits(targets: DataFrame, keys: Sequence[str] = (*KEYS, "config"), s
     exits = done.unionByName(found.filter(F.col("exit_no") >= 0)).select(*ids, "exit_no")
     all_entries = own.drop("exit_no", "_blk").join(exits, ids, "left")
     at_exit = df.select(*keys, F.col("bar_no").alias("exit_no"), F.col("close").alias("exit_price"))
-    return (all_entries.join(at_exit, [*keys, "exit_no"], "left")
-            .withColumn("trade_return", F.col("target_position") * (F.col("exit_price") - price) / price))
+    return cut_lineage(all_entries.join(at_exit, [*keys, "exit_no"], "left")
+                       .withColumn("trade_return", F.col("target_position") * (F.col("exit_price") - price) / price))
 
 
 def bracket_trades(exits: DataFrame, keys: Sequence[str] = (*KEYS, "config")) -> DataFrame:

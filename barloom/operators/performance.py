@@ -224,3 +224,12 @@ def default_vs_best(results: DataFrame, metric: str, is_default: Column, by: Seq
         F.max(F.when(is_default, F.col(metric))).alias("default_value"))
         .withColumns({"improvement": F.col("best_value") - F.col("default_value"),
                       "factor": F.try_divide("best_value", "default_value")}))
+
+
+def buy_hold(bars: DataFrame, capital: float = 10_000.0, keys: Sequence[str] = KEYS,
+             size: int = BLOCK_BARS) -> DataFrame:
+    """Final value, return and deepest drawdown of holding from the first bar on."""
+    df = running(bars, {"_first": ("first", F.col("close")), "_peak": ("max", F.col("close"))}, keys, size)
+    agg = df.groupBy(*keys).agg((F.max_by("close", "ts") / F.min_by("close", "ts") * capital).alias("final_value"),
+                                F.min(F.col("close") / F.col("_peak") - 1).alias("max_drawdown"))
+    return agg.withColumn("return_pct", (F.col("final_value") / capital - 1) * 100)

@@ -25,9 +25,10 @@ def volume_profile(bars: DataFrame, lookback: int = 300, rows: int = 30,
     overlaps, so the plan has no theta join, and rows are summed with map-side combine.
     Bars without a price range are skipped; every row of the range appears.
     """
-    feats = windowed(bars, add_volume_features, 40, size=size)
+    # the features look back 40 bars, so nothing older is worth computing
+    feats = windowed(latest(bars, lookback + 41, size=size), add_volume_features, 40, size=size)
     last = latest(feats, lookback, size=size)
-    bounds = (last.groupBy(*KEYS).agg(F.min("low").alias("lo"), F.max("high").alias("hi"))
+    bounds = (latest(bars, lookback, size=size).groupBy(*KEYS).agg(F.min("low").alias("lo"), F.max("high").alias("hi"))
               .withColumn("height", (F.col("hi") - F.col("lo")) / rows))
     x = last.join(bounds, list(KEYS)).filter((F.col("high") > F.col("low")) & (F.col("height") > 0))
     first = F.greatest(F.ceil((F.col("low") - F.col("lo")) / F.col("height")) - 1, F.lit(0))
@@ -43,7 +44,7 @@ def volume_profile(bars: DataFrame, lookback: int = 300, rows: int = 30,
         F.sum(F.when(up, 0.0).otherwise(F.col("part"))).alias("sell_volume"),
         F.sum(F.when(big, F.col("part")).otherwise(0.0)).alias("institutional_volume"),
         F.count("*").alias("n_bars"))
-    grid = (bounds.withColumn("row_no", F.explode(F.sequence(F.lit(0), F.lit(rows - 1))).cast("long"))
+    grid = (bounds.withColumn("row_no", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(rows - 1).cast("long"))))
             .withColumn("price_level", F.col("lo") + (F.col("row_no") + 0.5) * F.col("height"))
             .select(*KEYS, "row_no", "price_level"))
     out = grid.join(sums, [*KEYS, "row_no"], "left").na.fill(0)
@@ -51,23 +52,41 @@ def volume_profile(bars: DataFrame, lookback: int = 300, rows: int = 30,
 
 
 def profile_metrics(profile: DataFrame) -> DataFrame:
-    """Point of control, value area by volume rank, delta and balance, one row a series."""
-    v = F.col("total_volume")
-    poc = (profile.groupBy(*KEYS).agg(
-        F.max_by(F.struct("price_level", "total_volume"), F.struct(v, -F.col("row_no"))).alias("_p"),
-        F.sum(v).alias("total_volume"), F.sum("buy_volume").alias("_b"), F.sum("sell_volume").alias("_s"),
-        F.sum("institutional_volume").alias("_i"))
-        .select(*KEYS, F.col("_p.price_level").alias("poc_price"), F.col("_p.total_volume").alias("poc_volume"),
-                "total_volume", (F.col("_b") - F.col("_s")).alias("net_delta"),
-                F.coalesce(F.try_divide(F.col("_b") - F.col("_s"), F.col("_b") + F.col("_s")), F.lit(0.0))
-                .alias("delta_ratio"),
-                F.coalesce(F.try_divide("_i", "total_volume"), F.lit(0.0)).alias("institutional_ratio")))
-    side = (profile.join(poc.select(*KEYS, "poc_price"), list(KEYS)).groupBy(*KEYS).agg(
-        F.sum(F.when(F.col("price_level") > F.col("poc_price"), v).otherwise(0.0)).alias("_a"),
-        F.sum(F.when(F.col("price_level") <= F.col("poc_price"), v).otherwise(0.0)).alias("_u"))
-        .select(*KEYS, F.coalesce(F.try_divide(F.col("_a") - F.col("_u"), F.col("_a") + F.col("_u")),
-                                  F.lit(0.0)).alias("profile_balance")))
-    return poc.join(value_area(profile), list(KEYS)).join(side, list(KEYS))
+    """Point of control, value area by volume rank, delta and balance, one row a series.
+
+    All windows cover the rows of one profile and share its shuffle with the aggregate.
+    """
+    v, level = F.col("total_volume"), F.col("price_level")
+    series = Window.partitionBy(*KEYS)
+    df = _ranked(profile).withColumn("_poc", F.max_by(F.struct(level.alias("p"), v.alias("v")),
+                                                      F.struct(v, -F.col("row_no"))).over(series))
+    above = level > F.col("_poc.p")
+    inside = _in_area(0.7)
+    agg = df.groupBy(*KEYS).agg(
+        F.first("_poc.p").alias("poc_price"), F.first("_poc.v").alias("poc_volume"), F.sum(v).alias("total_volume"),
+        F.sum("buy_volume").alias("_b"), F.sum("sell_volume").alias("_s"), F.sum("institutional_volume").alias("_i"),
+        F.max(F.when(inside, level)).alias("va_high"), F.min(F.when(inside, level)).alias("va_low"),
+        F.count_if(inside).alias("va_rows"),
+        F.sum(F.when(above, v).otherwise(0.0)).alias("_a"), F.sum(F.when(above, 0.0).otherwise(v)).alias("_u"))
+
+    def ratio(a, b):
+        return F.coalesce(F.try_divide(a, b), F.lit(0.0))
+    b, s, a, u = (F.col(c) for c in ("_b", "_s", "_a", "_u"))
+    return agg.withColumns({"net_delta": b - s, "delta_ratio": ratio(b - s, b + s),
+                            "institutional_ratio": ratio(F.col("_i"), F.col("total_volume")),
+                            "profile_balance": ratio(a - u, a + u)}).drop("_b", "_s", "_i", "_a", "_u")
+
+
+def _ranked(profile: DataFrame) -> DataFrame:
+    """Add the volume of the stronger rows and of the whole profile."""
+    series = Window.partitionBy(*KEYS)
+    order = series.orderBy(F.col("total_volume").desc(), "row_no").rowsBetween(Window.unboundedPreceding, -1)
+    return profile.withColumns({"_before": F.coalesce(F.sum("total_volume").over(order), F.lit(0.0)),
+                                "_all": F.sum("total_volume").over(series)})
+
+
+def _in_area(share: float):
+    return ((F.col("_before") < share * F.col("_all")) | ((F.col("_all") == 0) & (F.col("row_no") == 0)))
 
 
 def value_area(profile: DataFrame, share: float = 0.7) -> DataFrame:
@@ -75,13 +94,7 @@ def value_area(profile: DataFrame, share: float = 0.7) -> DataFrame:
 
     The window covers the rows of one profile, a number fixed by its ``rows`` setting.
     """
-    series = Window.partitionBy(*KEYS)
-    order = series.orderBy(F.col("total_volume").desc(), "row_no").rowsBetween(Window.unboundedPreceding, -1)
-    ranked = profile.withColumns({
-        "_before": F.coalesce(F.sum("total_volume").over(order), F.lit(0.0)),
-        "_all": F.sum("total_volume").over(series)})
-    return (ranked.filter((F.col("_before") < share * F.col("_all"))
-                          | ((F.col("_all") == 0) & (F.col("row_no") == 0)))
+    return (_ranked(profile).filter(_in_area(share))
             .groupBy(*KEYS).agg(F.max("price_level").alias("va_high"), F.min("price_level").alias("va_low"),
                                 F.count("*").alias("va_rows")))
 
@@ -148,7 +161,8 @@ def dynamic_rows(bars: DataFrame, size: int = BLOCK_BARS) -> DataFrame:
         df = df.withColumn("_tr", true_range(o))
         df = add_rma(df, o, F.col("_tr"), "atr_20", 20).drop("_tr")
         extra = F.round(F.try_divide(F.col("atr_20"), F.col("close")) * 1000)
-        return df.withColumn("profile_rows", F.greatest(F.lit(15), F.least(F.lit(100), 30 + extra)).cast("int"))
+        size_ = F.greatest(F.lit(15), F.least(F.lit(100), 30 + extra)).cast("int")
+        return df.withColumn("profile_rows", F.when(extra.isNotNull(), size_))
     return windowed(bars, fn, ewm_lookback(1 / 20) + 20, size=size)
 
 

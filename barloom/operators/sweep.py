@@ -237,3 +237,47 @@ def grid(spark, **axes: Sequence[int]) -> DataFrame:
     names = list(axes)
     rows = [(i, *row) for i, row in enumerate(product(*axes.values()))]
     return spark.createDataFrame(rows, "param_id int, " + ", ".join(f"{n} int" for n in names))
+
+
+def with_best_params(bars: DataFrame, best: DataFrame, default: dict[str, int],
+                     by: Sequence[str] = ("timeframe",)) -> DataFrame:
+    """Parameters of the bar's timeframe, the default where none is known."""
+    joined = bars.join(best, list(by), "left")
+    return joined.withColumns({c: F.coalesce(F.col(c), F.lit(v)) for c, v in default.items()})
+
+
+def timeframe_comparison(bars: DataFrame, fast, slow, signal, capital: float = 10_000.0,
+                         size: int = BLOCK_BARS) -> DataFrame:
+    """Best parameters per series and timeframe beside points, days and buy-and-hold."""
+    from .performance import best_by
+    from .series import epoch_seconds
+    res = sweep_macd(bars, fast, slow, signal, capital, size).withColumn("total_return", F.round("total_return", 4))
+    best = best_by(res, "total_return", KEYS, ("fast", "slow", "signal")).select(
+        *KEYS, "fast", "slow", "signal", "total_return", "total_trades", "win_rate", "final_capital")
+    span = (epoch_seconds(F.max("ts")) - epoch_seconds(F.min("ts"))) / 86400
+    shape = bars.groupBy(*KEYS).agg(
+        F.count("*").alias("data_points"), F.floor(span).alias("actual_days"),
+        ((F.max_by("close", "ts") / F.min_by("close", "ts") - 1) * 100).alias("buy_hold_return"))
+    return best.join(shape, list(KEYS))
+
+
+def compare_benchmark(metrics: DataFrame) -> DataFrame:
+    """Strategy beside its benchmark with difference columns."""
+    return metrics.select(
+        *KEYS, "total_return", "benchmark_return",
+        (F.col("total_return") - F.col("benchmark_return")).alias("difference"),
+        (F.col("max_drawdown") - F.col("benchmark_max_drawdown")).alias("drawdown_difference"))
+
+
+def strategy_report(runs: dict[str, DataFrame]) -> DataFrame:
+    """Rows per named run and its benchmark (the benchmark of the first run)."""
+    rows = None
+    for i, (name, m) in enumerate(runs.items()):
+        parts = [m.select(F.lit(name).alias("series"), "symbol", "total_return", "max_drawdown")]
+        if i == 0:
+            parts.append(m.select(F.lit("benchmark").alias("series"), "symbol",
+                                  F.col("benchmark_return").alias("total_return"),
+                                  F.col("benchmark_max_drawdown").alias("max_drawdown")))
+        for p in parts:
+            rows = p if rows is None else rows.unionByName(p)
+    return rows
