@@ -58,7 +58,7 @@ def recover_rank(cells: Column, attrs: Column, text: Column, page: Column, row_n
         return F.try_element_at(F.filter(F.transform(xs, _rank), lambda r: r.isNotNull()), F.lit(1))
     guess = (page - 1) * 100 + row_no + 1
     return F.coalesce(_rank(F.try_element_at(attrs, F.lit(2))), _rank(at(cells, 1)), first_rank(attrs),
-                      first_rank(F.transform(cells, F.trim)), first_rank(_all(text, r"\b\d{1,3}\b")),
+                      first_rank(F.transform(cells, lambda c: F.trim(c))), first_rank(_all(text, r"\b\d{1,3}\b")),
                       F.when(guess.between(1, 500), guess.cast("int")))
 
 

@@ -105,28 +105,35 @@ def _any_of(c: Column, words) -> Column:
     return reduce(or_, [c.contains(w) for w in words])
 
 
+def _lookup(pairs: dict) -> Column:
+    """Literal map; Spark folds it into one constant."""
+    return F.create_map(*[F.lit(x) for kv in pairs.items() for x in kv])
+
+
 def detect_currency(symbol, country) -> Column:
-    """Currency by symbol suffix or country, rules in order, USD when nothing matches."""
-    s, k = F.upper(_c(symbol)), F.upper(F.coalesce(_c(country), F.lit("")))
-    out = None
-    for code, suffixes, countries in CURRENCY_RULES:
-        hit = reduce(or_, [s.endswith(x) for x in suffixes]) | k.isin(*countries)
-        out = F.when(hit, code) if out is None else out.when(hit, code)
-    return out.otherwise("USD")
+    """Currency by symbol suffix or country, the earlier rule wins, USD when nothing matches.
+
+    Two lookups give the rule numbers of the suffix and of the country.
+    """
+    by_suffix = {x: i for i, (_, suffixes, _c2) in enumerate(CURRENCY_RULES, 1) for x in suffixes}
+    by_country = {x: i for i, (_, _s, countries) in enumerate(CURRENCY_RULES, 1) for x in countries}
+    suffix = F.regexp_extract(F.upper(_c(symbol)), r"(\.[^.]*)$", 1)
+    rule = F.least(F.try_element_at(_lookup(by_suffix), suffix),
+                   F.try_element_at(_lookup(by_country), F.upper(F.coalesce(_c(country), F.lit("")))))
+    codes = {i: code for i, (code, _s, _k) in enumerate(CURRENCY_RULES, 1)}
+    return F.coalesce(F.try_element_at(_lookup(codes), rule), F.lit("USD"))
 
 
 def detect_currency_suffix_first(symbol, country) -> Column:
     """Currency by exchange suffix, then by country, then USD."""
     s = F.upper(_c(symbol))
     by_suffix = F.coalesce(*[F.when(s.rlike(p), code) for p, code in SUFFIX_CURRENCY])
-    table = F.create_map(*[F.lit(x) for kv in COUNTRY_CURRENCY.items() for x in kv])
-    return F.coalesce(by_suffix, F.try_element_at(table, _c(country)), F.lit("USD"))
+    return F.coalesce(by_suffix, F.try_element_at(_lookup(COUNTRY_CURRENCY), _c(country)), F.lit("USD"))
 
 
 def rate_column(currency, rates: dict[str, float] = EMERGENCY_RATES) -> Column:
     """Rate from a fixed table; NULL for a currency that is not in it."""
-    table = F.create_map(*[F.lit(x) for kv in rates.items() for x in kv])
-    return F.try_element_at(table, _c(currency))
+    return F.try_element_at(_lookup(rates), _c(currency))
 
 
 def rates_frame(spark, rates: dict[str, float] = FALLBACK_RATES) -> DataFrame:
@@ -209,5 +216,5 @@ def is_public_company(name) -> Column:
     starts = reduce(or_, [n.startswith(f"auto {k}") for k in COUNTRY_NAMES])
     excluded = (_any_of(n, TOTAL_WORDS) | n.isin(*COUNTRY_NAMES) | starts | _any_of(n, GOVERNMENT_WORDS)
                 | _any_of(n, NON_PROFIT_WORDS) | _any_of(n, PRIVATE_NAMES))
-    wanted = (_any_of(n, CORPORATE_WORDS) | raw.rlike(r"\b[A-Z]{2,5}(?:\.[A-Z]+)?\b") | _any_of(n, KNOWN_PUBLIC))
+    wanted = (_any_of(n, CORPORATE_WORDS) | raw.rlike(r"(?U)\b[A-Z]{2,5}(?:\.[A-Z]+)?\b") | _any_of(n, KNOWN_PUBLIC))
     return F.coalesce((raw != "") & ~excluded & wanted, F.lit(False))

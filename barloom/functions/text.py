@@ -7,6 +7,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from .guards import BIGINT_MAX
 
@@ -102,7 +103,7 @@ def repair_text(text) -> Column:
     return F.regexp_replace(out, r"[\x00-\x1F\x7F]", "")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def nfc(text: pd.Series) -> pd.Series:
     """Canonical composition; Spark has no built-in for it, so this one runs on Arrow batches."""
     return text.map(lambda s: None if s is None else unicodedata.normalize("NFC", s))
@@ -154,7 +155,7 @@ def name_and_ticker(text) -> tuple[Column, Column]:
 
 def split_items(text, marker: str = "NEWS ITEM") -> Column:
     """Array of the non-empty parts between markers."""
-    parts = F.transform(F.split(_c(text), marker), F.trim)
+    parts = F.transform(F.split(_c(text), marker), lambda s: F.trim(s))
     return F.filter(parts, lambda s: s != "")
 
 

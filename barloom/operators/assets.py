@@ -176,9 +176,9 @@ def rank_assets(df: DataFrame, n: int = 500) -> DataFrame:
 def combine(feeds: Sequence[DataFrame], n: int = 500, snapshot_date: Column | None = None) -> DataFrame:
     """Feeds to the ranked snapshot: union, convert, clamp, dedupe, rank, defaults."""
     df = dedupe_companies(clamp_or_drop(emergency_convert(union_feeds(*feeds))))
-    for c in ("price_raw", "market_cap_raw"):
+    for c, kind in (("price_raw", "double"), ("market_cap_raw", "double"), ("category", "string")):
         if c not in df.columns:
-            df = df.withColumn(c, F.lit(None).cast("double"))
+            df = df.withColumn(c, F.lit(None).cast(kind))
     ranked = fill_defaults(rank_assets(df, n))
     return ranked if snapshot_date is None else ranked.withColumn("snapshot_date", snapshot_date)
 

@@ -61,7 +61,11 @@ def dedupe_bars(bars: DataFrame, keep: str = "first", seq: str = "ingest_seq",
 
 
 def clip(bars: DataFrame, start=None, end=None) -> DataFrame:
-    """Keep bars inside [start, end]; reaches the scan as a pushed filter."""
+    """Keep bars inside [start, end]; reaches the scan as a pushed filter.
+
+    Bar numbers are dropped, the clipped series starts a new count.
+    """
+    bars = bars.drop("bar_no")
     if start is not None:
         bars = bars.filter(F.col("ts") >= F.lit(start))
     if end is not None:

@@ -70,7 +70,8 @@ def epoch_seconds(ts: str | Column) -> Column:
 def _span(bars: DataFrame, size: int, order: str) -> Column:
     if order != "ts":
         return F.floor(F.col(order) / size)
-    step = timeframe_seconds(F.col("timeframe")) if "timeframe" in bars.columns else F.lit(86400)
+    # without a timeframe the finest usual bar, a minute, bounds the rows of a span
+    step = timeframe_seconds(F.col("timeframe")) if "timeframe" in bars.columns else F.lit(60).cast("long")
     return F.floor(epoch_seconds("ts") / (step * F.lit(size)))
 
 

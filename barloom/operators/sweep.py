@@ -28,6 +28,7 @@ def sweep_sma(bars: DataFrame, periods: Sequence[int] = range(100, 201), histori
     periods and both sides of a crossing come from one window.
     """
     longest = max(periods)
+    bars = bars.drop("bar_no")  # every history length counts its own bars
     if tuple(histories) != (0,):
         last = bars.groupBy(*KEYS).agg(F.max("ts").alias("_last"))
         cut = F.explode(F.array(*[F.lit(h) for h in histories]))

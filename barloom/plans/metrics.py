@@ -58,11 +58,10 @@ def _(read):
     return P.curve_metrics(curve_frame(read)).select(*KEYS, *COUNTS_OUT, *METRICS_OUT)
 
 
-@query("m2_annualised_returns", f"{SQL_CURVE} SELECT symbol, ln(1 + annualized_periods) AS log_periods, ln(1 + annualized_rows) AS log_rows, ln(1 + annualized_days) AS log_days FROM ({sql_metrics()})",
-       r6="log_periods log_rows log_days")
+@query("m2_annualised_returns", f"{SQL_CURVE} SELECT symbol, annualized_periods, annualized_rows, annualized_days, sharpe_annual FROM ({sql_metrics()})",
+       r6="annualized_periods annualized_rows annualized_days sharpe_annual")
 def _(read):
-    m = P.curve_metrics(curve_frame(read))
-    return m.select("symbol", *[F.log(1 + F.col(f"annualized_{k}")).alias(f"log_{k}") for k in ("periods", "rows", "days")])
+    return P.curve_metrics(curve_frame(read)).select("symbol", "annualized_periods", "annualized_rows", "annualized_days", "sharpe_annual")
 
 
 SQL_TM = """SELECT symbol, timeframe, count(*) AS total_trades, count(*) FILTER (return_pct > 0) AS winning_trades, count(*) FILTER (return_pct < 0) AS losing_trades,
