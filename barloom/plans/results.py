@@ -8,14 +8,13 @@ from ..functions import guards as U
 from ..operators import performance as P
 from ..operators import signals as S
 from ..operators import store as O
-from ..session import cut_lineage
-from ..sources import readers as D
 from .inputs import SQL_1D, SQL_4H, W, bars_1d, bars_4h, sql_curve, sql_sma_signal
 from .market import SQL_EXC, excursion_frame, sql_knn_trend
 from .metrics import SQL_CURVE, curve_frame
 from .registry import query
 
-DAY = F.to_date("o_orderdate")
+def order_day():
+    return F.to_date("o_orderdate")
 
 
 def stored(read):
@@ -65,14 +64,14 @@ def _(read):
 
 @query("s21_retain", "SELECT o_orderkey, date_trunc('day', o_orderdate)::TIMESTAMP AS date_analyzed FROM orders WHERE o_orderdate >= TIMESTAMP '1998-01-01' - INTERVAL 90 DAY")
 def _(read):
-    df = read("orders").select("o_orderkey", DAY.alias("date_analyzed"))
+    df = read("orders").select("o_orderkey", order_day().alias("date_analyzed"))
     return O.retained(df, 90, F.lit("1998-01-01").cast("date"))
 
 
 @query("r6_clear_day", "SELECT o_orderkey, date_trunc('day', o_orderdate)::TIMESTAMP AS date_analyzed FROM orders WHERE o_orderdate NOT IN (TIMESTAMP '1997-03-03', TIMESTAMP '1997-03-04')")
 def _(read):
     from datetime import date
-    df = read("orders").select("o_orderkey", DAY.alias("date_analyzed"))
+    df = read("orders").select("o_orderkey", order_day().alias("date_analyzed"))
     return O.clear_days(df, [date(1997, 3, 3), date(1997, 3, 4)])
 
 
@@ -175,7 +174,7 @@ def _(read):
 
 @query("v4_latest_performance", """WITH t AS (SELECT date_trunc('day', o_orderdate)::TIMESTAMP AS date_analyzed, o_orderstatus, count(*) AS n, sum(o_totalprice) AS total FROM orders GROUP BY 1, 2) SELECT * FROM t WHERE date_analyzed = (SELECT max(date_analyzed) FROM t)""", r2="total")
 def _(read):
-    t = read("orders").groupBy(DAY.alias("date_analyzed"), "o_orderstatus").agg(F.count("*").alias("n"), F.sum("o_totalprice").alias("total"))
+    t = read("orders").groupBy(order_day().alias("date_analyzed"), "o_orderstatus").agg(F.count("*").alias("n"), F.sum("o_totalprice").alias("total"))
     return O.newest(t, "date_analyzed")
 
 
