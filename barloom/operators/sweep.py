@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
 from .indicators import ewm_lookback, span_alpha
 from .performance import curve_metrics
 from .series import BLOCK_BARS, KEYS, Over, number_bars, running, windowed
@@ -46,21 +47,25 @@ def sweep_sma(bars: DataFrame, periods: Sequence[int] = range(100, 201), histori
     df = windowed(df.select(*keys, "ts", "close", "bar_no", "_cs"), fn, longest + 1, keys=keys, size=size)
     lengths = df.groupBy(*keys).agg((F.max("bar_no") + 1).alias("_len"))
     df = df.join(lengths, list(keys))
-    df = (df.withColumn("sma_period", F.explode(F.array(*[F.lit(int(p)) for p in periods])))
-          .filter(F.col("_len") >= F.col("sma_period") + spare))
-    n, h = F.col("sma_period"), F.col("_h")
+    h, close, prev = F.col("_h"), F.col("close"), F.col("_pc")
 
-    def mean(back: int):
+    def mean(n, back: int):
         """Mean of n closes ending ``back`` bars ago; before bar 0 the running sum is 0."""
         at = F.col("bar_no") - back
-        top = F.element_at(h, F.lit(-1 - back))
+        top = F.try_element_at(h, F.lit(-1 - back))
         low = F.when(at == n - 1, 0.0).when(at >= n, F.try_element_at(h, -(n + 1 + back)))
         return F.when(at >= n - 1, (top - low) / n)
-    now = mean(0)
-    then = F.when(F.col("bar_no") >= 1, mean(1))
-    close, prev = F.col("close"), F.col("_pc")
-    df = df.withColumn("signal_type", F.when((close > now) & (prev <= then), 1)
-                       .when((close < now) & (prev >= then), -1).otherwise(0)).drop("_h", "_cs", "_pc", "_len")
+
+    def crossing(n):
+        now, then = mean(n, 0), F.when(F.col("bar_no") >= 1, mean(n, 1))
+        return F.struct(n.alias("sma_period"), F.when((close > now) & (prev <= then), 1)
+                        .when((close < now) & (prev >= then), -1).otherwise(0).alias("signal_type"))
+    # crossings of all periods are found on the bar itself; only they are multiplied, not the array
+    usable = F.filter(F.array(*[F.lit(int(p)) for p in periods]), lambda n: n + spare <= F.col("_len"))
+    df = df.withColumn("_x", F.transform(usable, crossing)).drop("_h", "_cs", "_pc", "_len")
+    # one row a bar; the curve below reads it several times
+    df = cut_lineage(df.select(*keys, "ts", "close", "bar_no", "_x"))
+    df = df.withColumn("_x", F.explode("_x")).select(*keys, "ts", "close", "bar_no", "_x.*")
     by = (*keys, "sma_period")
     curve = equity_curve(df, capital, keys=by, size=size)
     return curve_metrics(curve, by)
@@ -75,6 +80,8 @@ def _event_trades(events: DataFrame, ends: DataFrame, by: Sequence[str], size: i
     Only the crossings leave a block, a few percent of bars x sets.  An open trade is
     closed at the last bar in ``is_open``.
     """
+    # a few rows a series and set, read several times below
+    events = cut_lineage(events)
     eff = effective_events(events, by, size).filter(F.col("event") != 0)
     entry = F.when(F.col("event") == 1, 1).otherwise(0)
     eff = running(eff, {"trade_no": ("sum", entry)}, by, size)
@@ -218,8 +225,9 @@ def sweep_knn(bars: DataFrame, ks: Sequence[int], windows: Sequence[int], ma_len
                     "close": close[hit], "k": np.int32(k), "window": np.int32(w), "ma_len": np.int32(m),
                     "signal_type": trend[hit].astype(np.int32)}))
         if not found:
-            return pd.DataFrame({"symbol": [], "timeframe": [], "bar_no": [], "close": [], "k": [], "window": [],
-                                 "ma_len": [], "signal_type": []})
+            return pd.DataFrame({"symbol": pd.Series([], dtype=object), "timeframe": pd.Series([], dtype=object),
+                                 "bar_no": no[:0], "close": close[:0],
+                                 **{c: np.empty(0, np.int32) for c in ("k", "window", "ma_len", "signal_type")}})
         return pd.concat(found, ignore_index=True)
     by = (*KEYS, "k", "window", "ma_len")
     events = _per_block(bars.select(*KEYS, "ts", "high", "low", "close"), back, fn,
