@@ -24,7 +24,7 @@ OHLC = "open high low close"
 
 @query("a5_resample_ticks_4h", f"WITH {sql_event_bars(4)} SELECT * FROM bars", r6=OHLC)
 def _(read):
-    return bars_4h(read)
+    return B.ticks_to_bars(event_ticks(read), "4 hours", "4h")
 
 
 @query("a5_resample_bars_weekly", f"""{SQL_1D}
@@ -310,7 +310,7 @@ kt AS (SELECT *, CASE WHEN lag(trend) OVER ({W}) = 'down' AND trend = 'up' THEN
 
 
 @query("w18_w20_knn_trend", f"{SQL_4H}, {sql_knn_trend()} SELECT symbol, ts, knn_ma, knn_smooth, knn_average, trend, signal_type FROM kt",
-       r6="knn_ma knn_smooth knn_average")
+       r8="knn_ma knn_smooth knn_average")
 def _(read):
     return I.knn_trend(bars_4h(read), K_, WIN, MA).select("symbol", "ts", "knn_ma", "knn_smooth", "knn_average", "trend", "signal_type")
 
@@ -322,7 +322,7 @@ k1 AS (SELECT v0.*, coalesce(knn_ma, 0.0) AS knn_ma FROM v0 LEFT JOIN k0 USING (
 k2 AS (SELECT *, coalesce({sql_wma('knn_ma', 5)}, 0.0) AS knn_smooth, avg(knn_ma) OVER ({last_n(50)}) AS knn_average FROM k1),
 k3 AS (SELECT *, CASE WHEN knn_smooth > lag(knn_smooth) OVER ({W}) AND knn_smooth > 0 THEN 'up' WHEN knn_smooth < lag(knn_smooth) OVER ({W}) AND knn_smooth > 0 THEN 'down' ELSE 'neutral' END AS trend FROM k2)
 SELECT symbol, ts, knn_ma, knn_smooth, knn_average, trend, CASE WHEN lag(trend) OVER ({W}) = 'down' AND trend = 'up' THEN 1 WHEN lag(trend) OVER ({W}) = 'up' AND trend = 'down' THEN -1 ELSE 0 END AS signal_type FROM k3""",
-       r6="knn_ma knn_smooth knn_average")
+       r8="knn_ma knn_smooth knn_average")
 def _(read):
     return I.knn_trend(bars_4h(read), K_, WIN, MA, zero_fill=True).select(
         "symbol", "ts", "knn_ma", "knn_smooth", "knn_average", "trend", "signal_type")

@@ -43,7 +43,7 @@ def _(read):
 
 
 @query("a16_volume_profile_daily", f"{SQL_PROF_D} SELECT * EXCLUDE (n_bars, avg_size) FROM prof",
-       r2="price_level total_volume buy_volume sell_volume institutional_volume")
+       r6="price_level", r2="total_volume buy_volume sell_volume institutional_volume")
 def _(read):
     return R.volume_profile(bars_1d(read), LOOK, ROWS).drop("n_bars", "avg_size")
 
@@ -66,7 +66,7 @@ def _(read):
     return R.profile_metrics(R.volume_profile(bars_4h(read), LOOK, ROWS))
 
 
-@query("a19_value_area", f"{SQL_PROF_D}, {SQL_VA} SELECT * FROM va", r4="va_high va_low")
+@query("a19_value_area", f"{SQL_PROF_D}, {SQL_VA} SELECT * FROM va", r6="va_high va_low")
 def _(read):
     return R.value_area(R.volume_profile(bars_1d(read), LOOK, ROWS))
 
@@ -93,7 +93,7 @@ def _(read):
 hv AS (SELECT p.*, row_number() OVER (PARTITION BY symbol ORDER BY row_no) AS i FROM prof p JOIN fl USING (symbol) WHERE total_volume > fl)
 SELECT symbol, timeframe, price_level AS price, total_volume AS volume, 1::BIGINT AS strength, buy_volume, sell_volume, institutional_volume FROM hv
 WHERE NOT EXISTS (SELECT 1 FROM hv o WHERE o.symbol = hv.symbol AND o.row_no <> hv.row_no AND abs(o.price_level - hv.price_level) / least(o.price_level, hv.price_level) < 0.002)""",
-       r2="price volume buy_volume sell_volume institutional_volume")
+       r6="price", r2="volume buy_volume sell_volume institutional_volume")
 def _(read):
     # rows of this profile are further apart than the tolerance, so every group has one row
     return R.smart_levels(R.volume_profile(bars_1d(read), LOOK, ROWS))

@@ -20,7 +20,10 @@ def query(name: str, sql: str | None = None, **rounding: str):
 
     def wrap(fn):
         def run(spark: SparkSession, sf: str) -> DataFrame:
-            df = fn(lambda t: spark.read.parquet(f"{sf}/{t}.parquet"))
+            def read(table: str) -> DataFrame:
+                return spark.read.parquet(f"{sf}/{table}.parquet")
+            read.spark, read.folder = spark, sf
+            df = fn(read)
             # dates leave as timestamps, the one time type both engines hand over alike
             df = df.withColumns({f.name: F.col(f.name).cast("timestamp_ntz") for f in df.schema.fields
                                  if f.dataType.typeName() == "date"})
