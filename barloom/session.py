@@ -13,6 +13,8 @@ DEFAULTS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.sources.partitionOverwriteMode": "dynamic",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # no call-site capture per column expression; it doubles the time to build long plans
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 
 
