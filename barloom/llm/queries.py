@@ -36,3 +36,10 @@ def op10_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
     """Pieces of all documents in sequences of 2,048 tokens."""
     from .packing import pack_documents
     return pack_documents(table(spark, folder, "documents"), vocabulary())
+
+
+@llm_query
+def op7_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    """Words that the mix takes from each document."""
+    from .mixing import mix
+    return mix(table(spark, folder, "documents"))
