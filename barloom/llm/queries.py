@@ -43,3 +43,18 @@ def op7_mixing(spark: SparkSession, folder: str) -> DataFrame:
     """Words that the mix takes from each document."""
     from .mixing import mix
     return mix(table(spark, folder, "documents"))
+
+
+@llm_query
+def op1_secrets(spark: SparkSession, folder: str) -> DataFrame:
+    """Secrets of every document, certain ones and those whose parts complete each other."""
+    from .secrets import secrets, spans_text
+    found = secrets(table(spark, folder, "documents"))
+    return found.select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", spans_text(found["found"]).alias("spans"))
+
+
+@llm_query
+def op4_quality(spark: SparkSession, folder: str) -> DataFrame:
+    """Quality of every document by a factorisation machine."""
+    from .quality import quality
+    return quality(table(spark, folder, "documents"), table(spark, folder, "labels"))
