@@ -58,3 +58,10 @@ def op4_quality(spark: SparkSession, folder: str) -> DataFrame:
     """Quality of every document by a factorisation machine."""
     from .quality import quality
     return quality(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
+@llm_query
+def op5_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
+    """Components of documents whose sets of 4-word shingles are 85 % alike."""
+    from .jaccard import jaccard_components
+    return jaccard_components(table(spark, folder, "documents"), 4, 85)
