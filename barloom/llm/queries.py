@@ -65,3 +65,19 @@ def op5_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
     """Components of documents whose sets of 4-word shingles are 85 % alike."""
     from .jaccard import jaccard_components
     return jaccard_components(table(spark, folder, "documents"), 4, 85)
+
+
+@llm_query
+def op6_near_vectors(spark: SparkSession, folder: str) -> DataFrame:
+    """Links and components of all vectors with a cosine of 0.9 or more."""
+    from .near_vectors import near_duplicates
+    return near_duplicates(table(spark, folder, "embeddings"))
+
+
+@llm_query
+def op9_multi_index(spark: SparkSession, folder: str) -> DataFrame:
+    """The 20 nearest vectors of every vector whose vec_id is divisible by 20."""
+    from pyspark.sql import functions as F
+
+    from .multi_index import search
+    return search(table(spark, folder, "embeddings"), F.col("vec_id") % 20 == 0)
