@@ -81,3 +81,10 @@ def op9_multi_index(spark: SparkSession, folder: str) -> DataFrame:
 
     from .multi_index import search
     return search(table(spark, folder, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
+@llm_query
+def op2_suffix_family(spark: SparkSession, folder: str) -> DataFrame:
+    """What stays of every document when repeated strings of 100 bytes go."""
+    from .suffix_family import deduplicated
+    return deduplicated(table(spark, folder, "documents"))
