@@ -14,7 +14,9 @@ one (below).  The first of each (h, c) becomes a level of its own, and two level
 one of twice the size, by a merge join of their buckets, so a suffix is rewritten once for each doubling.
 
 *Single strings.*  Only suffixes whose h recurs with other surroundings (the rims of repeated passages) are
-taken apart into their strings, each with a 128-bit hash; all but the first of each start later.
+taken apart.  Their bytes are cut out of the texts and meet by h, where the strings of a group are compared
+by 128-bit hashes; all but the first of each start later.  A group of over ``group_rows`` suffixes is not
+held in one task: its strings go on one by one and are summed up by hash.
 
 Repeats inside a chunk of texts, such as one word over and over, are folded into ranges before anything is
 shuffled.  A suffix that a third of all documents hold is a few rows a document of about eighty.
@@ -47,9 +49,11 @@ PLACE = ["doc", "tie", "p"]
 
 
 def keyed(docs: DataFrame) -> DataFrame:
-    """doc, tie, text: what orders documents."""
-    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc"),
-                       F.coalesce(F.shiftrightunsigned(F.xxhash64("text"), 33).cast("int"), F.lit(0)).alias("tie"), F.coalesce("text", F.lit("")).alias("text"))
+    """doc, tie, text: what orders documents.  The tie is 0 throughout where no doc_id is repeated."""
+    doc = F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc")
+    unique = docs.select(doc).groupBy("doc").agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty()
+    tie = F.lit(0) if unique else F.shiftrightunsigned(F.xxhash64("text"), 33).cast("int")
+    return docs.select(doc, tie.alias("tie"), F.coalesce("text", F.lit("")).alias("text"))
 
 
 def segments(column: pa.Array, length: int):
@@ -126,7 +130,8 @@ class SuffixFamily:
     """Levels of suffix arrays; ``add`` takes batches in rising order of documents.
 
     Levels are tables in a database of the shared folder, ``close`` drops them.  What was found is kept in two
-    folders of files there: ``covered`` (doc, tie, p, n: n starts from p on repeat) and ``open`` (to be compared).
+    folders of files there: ``covered`` (doc, tie, p, n: n starts from p on repeat) and ``open`` (h besides: to be
+    compared).
     """
 
     def __init__(self, spark: SparkSession, length: int = 100):
@@ -147,7 +152,9 @@ class SuffixFamily:
         self.spark.sql(f"DROP TABLE {name}")
 
     def add(self, docs: DataFrame) -> None:
-        """Scan a batch (doc, tie, text) against the levels and take it in."""
+        """Scan a batch (doc, tie, text) against the levels and take it in; levels of equal size merge before that."""
+        while len(self.levels) > 1 and self.levels[-1][0] == self.levels[-2][0]:
+            self._merge()
         array = self._save(suffix_rows(docs, self.length).repartition(self.buckets, "h").sortWithinPartitions("h", "c", *PLACE))
         rows = self.spark.table(array)
         rows.where("n < 0").select(*PLACE, (-F.col("n")).alias("n")).write.mode("append").parquet(self.covered)
@@ -169,15 +176,13 @@ class SuffixFamily:
         self._drop(array)
         scan = self.spark.table(scanned)
         scan.where("state = 0").select(*PLACE, "n").write.mode("append").parquet(self.covered)
-        scan.where("state = 1").select(*PLACE, "n").write.mode("append").parquet(self.open)
+        scan.where("state = 1").select("h", *PLACE, "n").write.mode("append").parquet(self.open)
         asked = scan.where("state = 1").select("h").distinct()
         for _, level in self.levels:
-            self.spark.table(level).join(asked.hint("merge"), "h", "left_semi").select(*PLACE, "n").write.mode("append").parquet(self.open)
+            self.spark.table(level).join(asked.hint("merge"), "h", "left_semi").select("h", *PLACE, "n").write.mode("append").parquet(self.open)
         level = self._save(scan.where("state > 0").drop("state"))
         self._drop(scanned)
         self.levels.append((1, level))
-        while len(self.levels) > 1 and self.levels[-1][0] == self.levels[-2][0]:
-            self._merge()
 
     def _merge(self) -> None:
         """The two smallest levels as one: a merge join of their buckets; no (h, c) is in both."""
@@ -195,41 +200,110 @@ class SuffixFamily:
         self.levels = []
 
 
-def _ranges(folder: DataFrame) -> DataFrame:
+def _ranges(folder: DataFrame, *more: str) -> DataFrame:
     """A row a document: doc, tie, at (sorted array of p, n), within one text."""
-    return folder.groupBy("doc", "tie").agg(F.sort_array(F.collect_set(F.struct("p", "n"))).alias("at"))
+    return folder.groupBy("doc", "tie").agg(F.sort_array(F.collect_set(F.struct("p", "n", *more))).alias("at"))
+
+
+def surroundings(docs: DataFrame, opened: DataFrame, length: int) -> DataFrame:
+    """h, doc, tie, p, n, bytes of the suffixes in ``opened``: all bytes their strings cover."""
+    def run(batches):
+        for b in batches:
+            for i in range(0, len(b), 256):
+                rows = []
+                part = b.slice(i, 256)
+                for doc, tie, text, at in zip(*(part.column(c).to_pylist() for c in ("doc", "tie", "text", "at"))):
+                    raw = text.encode()
+                    rows += [(r["h"], doc, tie, r["p"], r["n"], raw[r["p"]:r["p"] + r["n"] + length - 1]) for r in at]
+                for k in range(0, len(rows), 4096):
+                    yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(zip(*rows[k:k + 4096]), types)], names=["h", "doc", "tie", "p", "n", "bytes"])
+
+    types = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary()]
+    return docs.join(_ranges(opened, "h"), ["doc", "tie"]).mapInArrow(run, "h long, doc long, tie int, p int, n int, bytes binary")
+
 
+def compared(rows: DataFrame, length: int, group_rows: int = 20_000) -> DataFrame:
+    """Strings of ``rows`` (surroundings) that start earlier as well: doc, tie, p, and repeats = true.
+
+    Strings of groups over ``group_rows`` come with repeats null and their hashes x, y, for ``summed``.
+    """
+    def strings(table: pa.Table, one: RangeHash, two: RangeHash):
+        column = table["bytes"].combine_chunks()
+        size = pa.compute.binary_length(column).to_numpy().astype(np.int64)
+        data = np.frombuffer(b"".join(column.to_pylist()), np.uint8)
+        first, n = np.cumsum(size) - size, table["n"].to_numpy().astype(np.int64)
+        s, row = ragged(first, n), np.repeat(np.arange(len(n)), n)
+        one.load(data)
+        two.load(data)
+        place = table["p"].to_numpy()[row] + (s - first[row])
+        return one.of(s, s + length), two.of(s, s + length), table["h"].to_numpy()[row], table["doc"].to_numpy()[row], table["tie"].to_numpy()[row], place
+
+    def batch(x, y, doc, tie, p, repeats):
+        for i in range(0, len(p), 1 << 16):
+            j = slice(i, i + (1 << 16))
+            yield pa.RecordBatch.from_arrays([pa.array(x[j].view(np.int64)), pa.array(y[j].view(np.int64)), pa.array(doc[j]), pa.array(tie[j]), pa.array(p[j].astype(np.int32)),
+                                              pa.array([repeats] * len(p[j]), pa.bool_())], names=["x", "y", "doc", "tie", "p", "repeats"])
 
-def compared(docs: DataFrame, opened: DataFrame, length: int) -> DataFrame:
-    """doc, tie, p, n (1) of single strings, of those in ``opened``, that start earlier as well."""
     def run(batches):
+        import pyarrow.compute  # noqa: F401
         one, two = RangeHash(47), RangeHash(53)
+
+        def settle(table: pa.Table):
+            """Whole groups: all but the first of each string."""
+            for i, k in cuts(table["h"].to_numpy()):
+                x, y, h, doc, tie, p = strings(table.slice(i, k), one, two)
+                order = np.lexsort((p, tie, doc, y, x, h))
+                same = np.zeros(len(order), bool)
+                same[1:] = np.logical_and.reduce([v[order[1:]] == v[order[:-1]] for v in (h, x, y)])
+                lead = np.maximum.accumulate(np.where(same, 0, np.arange(len(order))))
+                later = np.logical_or.reduce([v[order] != v[order[lead]] for v in (doc, tie, p)])
+                pick = order[later]
+                yield from batch(x[pick], y[pick], doc[pick], tie[pick], p[pick], True)
+
+        def cuts(h: np.ndarray, rows_: int = 8192):
+            """(from, how many) of runs of whole groups."""
+            ends = np.append(np.flatnonzero(h[1:] != h[:-1]) + 1, len(h))
+            at = 0
+            while at < len(h):
+                end = int(ends[min(np.searchsorted(ends, at + rows_), len(ends) - 1)])
+                yield at, end - at
+                at = end
+
+        held, large = None, None                           # rows of the last h; the h that is too large to hold
         for b in batches:
-            doc_id, tie_of = b["doc"].to_numpy(), b["tie"].to_numpy()
-            at = b["at"]
-            lists, places, counts = at.offsets.to_numpy(), at.values.field("p").to_numpy(), at.values.field("n").to_numpy()
-            for row, data, offsets, begin in segments(b["text"], length):
-                one.load(data)
-                two.load(data)
-                span = slice(lists[row], lists[row + len(offsets) - 1])
-                text = np.repeat(np.arange(len(offsets) - 1), np.diff(lists[row:row + len(offsets)]))
-                p = ragged(places[span].astype(np.int64), counts[span].astype(np.int64))
-                text = np.repeat(text, counts[span])
-                key = np.unique(text.astype(np.int64) << 32 | p)
-                text, p = key >> 32, key & 0xFFFFFFFF
-                inside = (p >= begin) & (p - begin + length <= offsets[text + 1] - offsets[text])
-                text, p = text[inside], p[inside]
-                s = offsets[text] + p - begin
-                x, y = one.of(s, s + length), two.of(s, s + length)
-                for i in range(0, len(p), 1 << 16):
-                    j = slice(i, i + (1 << 16))
-                    yield pa.RecordBatch.from_arrays([pa.array(x[j].view(np.int64)), pa.array(y[j].view(np.int64)), pa.array(doc_id[row + text[j]]),
-                                                      pa.array(tie_of[row + text[j]]), pa.array(p[j].astype(np.int32))], names=["x", "y", "doc", "tie", "p"])
-
-    strings = docs.join(_ranges(opened), ["doc", "tie"])
-    strings = strings.mapInArrow(run, "x long, y long, doc long, tie int, p int").repartition("x")
+            table = pa.Table.from_batches([b])
+            if large is not None:
+                h = table["h"].to_numpy()
+                k = int(np.searchsorted(h != large, True)) if (h != large).any() else len(h)
+                for i in range(0, k, 8192):
+                    x, y, _, doc, tie, p = strings(table.slice(i, min(8192, k - i)), one, two)
+                    yield from batch(x, y, doc, tie, p, None)
+                table = table.slice(k)
+                if not len(table):
+                    continue
+                large = None
+            table = table if held is None else pa.concat_tables([held, table])
+            h = table["h"].to_numpy()
+            k = int(np.flatnonzero(h != h[-1])[-1]) + 1 if (h != h[-1]).any() else 0
+            yield from settle(table.slice(0, k))
+            held = table.slice(k)
+            if len(held) > group_rows:
+                large = int(h[-1])
+                for i in range(0, len(held), 8192):
+                    x, y, _, doc, tie, p = strings(held.slice(i, 8192), one, two)
+                    yield from batch(x, y, doc, tie, p, None)
+                held = None
+        if held is not None and len(held):
+            yield from settle(held)
+
+    return rows.repartition(partitions(rows.sparkSession), "h").sortWithinPartitions("h").mapInArrow(
+        run, "x long, y long, doc long, tie int, p int, repeats boolean")
+
+
+def summed(strings: DataFrame) -> DataFrame:
+    """doc, tie, p of all but the first of each string (x, y, doc, tie, p)."""
     first = strings.groupBy("x", "y").agg(F.min(F.struct(*PLACE)).alias("first"))
-    return strings.join(first, ["x", "y"]).where(F.struct(*PLACE) > F.col("first")).select(*PLACE, F.lit(1).alias("n"))
+    return strings.join(first, ["x", "y"]).where(F.struct(*PLACE) > F.col("first")).select(*PLACE)
 
 
 def kept_bytes(text: bytes, ranges, length: int) -> tuple[bytes, int]:
@@ -247,7 +321,7 @@ def kept_bytes(text: bytes, ranges, length: int) -> tuple[bytes, int]:
     return b"".join(out) + text[at:], runs
 
 
-def deduplicated(docs: DataFrame, length: int = 100, batches: int = 4, with_text: bool = False) -> DataFrame:
+def deduplicated(docs: DataFrame, length: int = 100, batches: int = 4, with_text: bool = False, group_rows: int = 20_000) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256[, kept (bytes)] of every row of ``docs`` (doc_id, text)."""
     spark = docs.sparkSession
     plain = keyed(docs)
@@ -259,10 +333,12 @@ def deduplicated(docs: DataFrame, length: int = 100, batches: int = 4, with_text
         family.add(part if high is None else part.where(F.col("doc") <= high))
     family.close()
     place = "doc long, tie int, p int, n int"
-    opened, covered = spark.read.schema(place).parquet(family.open), spark.read.schema(place).parquet(family.covered)
-    single = new_folder(spark, "single")
-    compared(plain, opened, length).write.parquet(single)
-    every = _ranges(covered.union(spark.read.schema(place).parquet(single)))
+    opened, covered = spark.read.schema(f"h long, {place}").parquet(family.open), spark.read.schema(place).parquet(family.covered)
+    folder = new_folder(spark, "strings")
+    compared(surroundings(plain, opened, length), length, group_rows).write.parquet(folder)
+    strings = spark.read.schema("x long, y long, doc long, tie int, p int, repeats boolean").parquet(folder)
+    single = strings.where("repeats").select(*PLACE).union(summed(strings.where("repeats IS NULL")))
+    every = _ranges(covered.union(single.withColumn("n", F.lit(1))))
 
     def finish(batches_):
         for b in batches_:
