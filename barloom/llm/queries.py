@@ -88,3 +88,18 @@ def op2_suffix_family(spark: SparkSession, folder: str) -> DataFrame:
     """What stays of every document when repeated strings of 100 bytes go."""
     from .suffix_family import deduplicated
     return deduplicated(table(spark, folder, "documents"))
+
+
+@llm_query
+def op8_sentence_spans(spark: SparkSession, folder: str) -> DataFrame:
+    """What stays of every document when repeated runs of three sentences go."""
+    from .sentence_spans import without_repeats
+    return without_repeats(table(spark, folder, "documents"))
+
+
+def _op8_sql() -> str:
+    from .sentence_spans import spans_sql
+    return spans_sql()
+
+
+ORACLES["op8_sentence_spans"] = _op8_sql()
