@@ -12,7 +12,7 @@ whose features, not texts, go to the driver.  Scoring is one pass over whole tex
 
 Nulls: a null text is empty and scored like one; a null doc_id is scored and not held out; labels of null
 quality or null doc_id are not used, of labels that share a doc_id the smallest counts.  Equal rows each get a
-row.  Without labels of both kinds every score is the share of label 1, or 1 without any.  Other columns are
+row.  Without labels of both kinds every score is next to the share of label 1, next to 1 without any.  Other columns are
 not read.
 """
 

@@ -58,7 +58,7 @@ def keyed(docs: DataFrame) -> DataFrame:
 
 def segments(column: pa.Array, length: int):
     """(first row, bytes, borders, place of the first byte in its text): whole texts, or overlapping parts of a long one."""
-    for row, data, offsets in chunks(column):
+    for row, data, offsets in chunks(column, min(SEGMENT, 1 << 20)):
         if len(data) <= SEGMENT:
             yield row, data, offsets, 0
         else:                                              # one long text
