@@ -81,26 +81,20 @@ def rolling_cv(c: Column, n: int, o: Over) -> Column:
 # S is chosen so that a weight older than one whole segment is below 1e-18.
 
 _TINY = math.log(1e18)
-_HUGE = 650.0
 
 
-def segment_bars(*alphas: float) -> int:
-    """One segment length that serves all the given smoothing factors."""
-    rates = [-math.log1p(-a) for a in alphas if a < 1]
-    if not rates:
-        return 1
-    size = math.ceil(_TINY / min(rates))
-    if size * max(rates) > _HUGE:
-        raise ValueError("smoothing factors too far apart for one segment length")
-    return size
+def segment_bars(alpha: float) -> int:
+    """Segment length of a smoothing factor."""
+    return math.ceil(_TINY / -math.log1p(-alpha)) if alpha < 1 else 1
 
 
 def ewm_lookback(*alphas: float) -> int:
-    return 2 * segment_bars(*alphas)
+    """Bars that the slowest of these means looks back on."""
+    return 2 * max(map(segment_bars, alphas))
 
 
 def add_ewm(df: DataFrame, o: Over, x: Column, out: str, alpha: float, mode: str = "adjust",
-            segment: int | None = None, start: int = 0) -> DataFrame:
+            start: int = 0) -> DataFrame:
     """Add an exponential mean of ``x``.
 
     ``mode``: 'adjust' normalises the weights, 'recursive' starts at the first value,
@@ -111,7 +105,7 @@ def add_ewm(df: DataFrame, o: Over, x: Column, out: str, alpha: float, mode: str
     i = F.col("bar_no") - start
     if q == 0:
         return df.withColumn(out, F.when(i >= 0, x))
-    s = segment or segment_bars(alpha)
+    s = segment_bars(alpha)
     n = round(1 / alpha)
     if mode == "adjust":
         term = F.when(i >= 0, x)
@@ -142,25 +136,24 @@ def span_alpha(span: int) -> float:
 
 
 def add_ema(df: DataFrame, o: Over, x: Column, out: str, span: int, adjust: bool = True,
-            segment: int | None = None, start: int = 0) -> DataFrame:
-    return add_ewm(df, o, x, out, span_alpha(span), "adjust" if adjust else "recursive", segment, start)
+            start: int = 0) -> DataFrame:
+    return add_ewm(df, o, x, out, span_alpha(span), "adjust" if adjust else "recursive", start)
 
 
 def add_rma(df: DataFrame, o: Over, x: Column, out: str, n: int, start: int = 0) -> DataFrame:
-    return add_ewm(df, o, x, out, 1.0 / n, "wilder", None, start)
+    return add_ewm(df, o, x, out, 1.0 / n, "wilder", start)
 
 
 def add_macd(df: DataFrame, o: Over, fast: int, slow: int, signal: int) -> DataFrame:
-    seg = segment_bars(*map(span_alpha, (fast, slow, signal)))
-    df = add_ema(df, o, F.col("close"), "ema_fast", fast, segment=seg)
-    df = add_ema(df, o, F.col("close"), "ema_slow", slow, segment=seg)
+    df = add_ema(df, o, F.col("close"), "ema_fast", fast)
+    df = add_ema(df, o, F.col("close"), "ema_slow", slow)
     df = df.withColumn("macd", F.col("ema_fast") - F.col("ema_slow"))
-    df = add_ema(df, o, F.col("macd"), "macd_signal", signal, segment=seg)
+    df = add_ema(df, o, F.col("macd"), "macd_signal", signal)
     return df.withColumn("histogram", F.col("macd") - F.col("macd_signal"))
 
 
 def macd_lookback(fast: int, slow: int, signal: int) -> int:
-    return 2 * ewm_lookback(*map(span_alpha, (fast, slow, signal))) + 1
+    return ewm_lookback(span_alpha(fast), span_alpha(slow)) + ewm_lookback(span_alpha(signal)) + 1
 
 
 def add_rsi(df: DataFrame, o: Over, c: Column, out: str, n: int = 14, wilder: bool = False) -> DataFrame:
