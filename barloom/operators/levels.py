@@ -5,8 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .profile import latest
-from .series import BLOCK_BARS, KEYS, windowed
+from .series import BLOCK_BARS, KEYS, running, windowed
 
 
 def pivots(bars: DataFrame, p: int = 10, source: str = "high_low", size: int = BLOCK_BARS) -> DataFrame:
@@ -28,30 +27,29 @@ def pivots(bars: DataFrame, p: int = 10, source: str = "high_low", size: int = B
     return windowed(bars, fn, p, lookahead=p, size=size)
 
 
-def channels(bars: DataFrame, p: int = 10, loopback: int = 290, width_pct: float = 5.0, min_strength: int = 1,
-             most: int = 10, range_bars: int = 300, source: str = "high_low",
-             size: int = BLOCK_BARS) -> DataFrame:
-    """Support/resistance channels of each series as of its newest known pivot.
+def channel_sets(bars: DataFrame, p: int = 10, loopback: int = 290, width_pct: float = 5.0, min_strength: int = 1,
+                 most: int = 10, range_bars: int = 300, source: str = "high_low", size: int = BLOCK_BARS,
+                 newest: bool = False) -> DataFrame:
+    """Support/resistance channels as of each bar at which a pivot becomes known: keys, as_of, sets (array, may be empty).
 
     A channel grows from a pivot over the pivots of the look-back that keep it within
     the width; strength is 20 a pivot plus the bars touching it.  The strongest free
     channel is taken first and switches off the channels it overlaps, up to ``most``.
-    All arrays are bounded by ``loopback``, whatever the length of the series.
+    A set sees the bars of its look-back only, so arrays are bounded by ``loopback``, whatever the length of
+    the series.  ``newest``: the last set of each series alone.
     """
     marked = pivots(bars, p, source, size)
-
-    def wide(df, o):
-        return df.withColumn("_range", F.max("high").over(o.last(range_bars)) - F.min("low").over(o.last(range_bars)))
-    marked = windowed(marked, wide, range_bars, size=size)
-    recent = latest(marked, loopback + 2 * p + range_bars + 1, size=size)
     is_pivot = F.col("pivot_high").isNotNull() | F.col("pivot_low").isNotNull()
-    now = recent.groupBy(*KEYS).agg(F.max(F.when(is_pivot, F.col("known_at"))).alias("as_of"))
-    window = recent.join(now, list(KEYS)).filter(F.col("bar_no").between(
-        F.col("as_of") - loopback - p, F.col("as_of")))
+    stops = marked.filter(is_pivot).select(*KEYS, F.col("known_at").alias("as_of"))
+    stops = stops.groupBy(*KEYS).agg(F.max("as_of").alias("as_of")) if newest else stops.distinct()
+    back = max(loopback + p, range_bars - 1)
+    seen_bars = stops.withColumn("bar_no", F.explode(F.sequence(F.greatest(F.col("as_of") - back, F.lit(0)), F.col("as_of"))))
+    window = marked.join(seen_bars, [*KEYS, "bar_no"])
     seen = is_pivot & (F.col("known_at").between(F.col("as_of") - loopback, F.col("as_of")))
     level = F.coalesce("pivot_high", "pivot_low")
+    in_range = F.col("bar_no") > F.col("as_of") - range_bars
     per = window.groupBy(*KEYS, "as_of").agg(
-        F.max(F.when(F.col("bar_no") == F.col("as_of"), F.col("_range"))).alias("_range"),
+        (F.max(F.when(in_range, F.col("high"))) - F.min(F.when(in_range, F.col("low")))).alias("_range"),
         # newest pivot first
         F.sort_array(F.collect_list(F.when(seen, F.struct(F.col("known_at").alias("at"), level.alias("v")))), False)
         .alias("_p"),
@@ -90,18 +88,28 @@ def channels(bars: DataFrame, p: int = 10, loopback: int = 290, width_pct: float
                         F.when(best.isNull(), acc["out"]).otherwise(F.concat(acc["out"], F.array(best)))
                         .alias("out"))
     per = per.withColumn("_out", F.aggregate(F.sequence(F.lit(1), F.lit(most)), start, take)["out"])
-    return (per.select(*KEYS, "as_of", F.posexplode("_out").alias("channel_no", "_k"))
-            .select(*KEYS, "as_of", "channel_no", F.col("_k.hi").alias("top"), F.col("_k.lo").alias("bottom"),
-                    F.col("_k.s").alias("strength")))
+    return per.select(*KEYS, "as_of", F.transform("_out", lambda k: F.struct(
+        k["hi"].alias("top"), k["lo"].alias("bottom"), k["s"].alias("strength"))).alias("sets"))
 
 
-def channel_breaks(bars: DataFrame, found: DataFrame, size: int = BLOCK_BARS) -> DataFrame:
-    """Bars that closed outside every channel after crossing a top or a bottom."""
-    # at most ten channels a series
-    packed = found.groupBy(*KEYS).agg(F.collect_list(F.struct("top", "bottom")).alias("_ch"))
+def channels(bars: DataFrame, p: int = 10, loopback: int = 290, width_pct: float = 5.0, min_strength: int = 1,
+             most: int = 10, range_bars: int = 300, source: str = "high_low", size: int = BLOCK_BARS) -> DataFrame:
+    """Channels of each series as of its newest known pivot, however long ago that was."""
+    sets = channel_sets(bars, p, loopback, width_pct, min_strength, most, range_bars, source, size, newest=True)
+    return sets.select(*KEYS, "as_of", F.posexplode("sets").alias("channel_no", "_k")).select(
+        *KEYS, "as_of", "channel_no", "_k.top", "_k.bottom", "_k.strength")
+
+
+def channel_breaks(bars: DataFrame, sets: DataFrame, size: int = BLOCK_BARS) -> DataFrame:
+    """Bars that closed outside every channel after crossing a top or a bottom, by the channels valid on that bar.
+
+    A set of ``sets`` (see ``channel_sets``) is valid from its own bar to the bar before the next one.
+    """
     df = windowed(bars, lambda d, o: d.withColumn("_prev", F.lag("close", 1).over(o.ordered)), 1, size=size)
-    df = df.join(packed, list(KEYS), "left").withColumn("_ch", F.coalesce(
-        F.col("_ch"), F.array().cast("array<struct<top:double,bottom:double>>")))
+    df = df.join(sets.select(*KEYS, F.col("as_of").alias("bar_no"), F.col("as_of").alias("_new")), [*KEYS, "bar_no"], "left")
+    df = running(df, {"as_of": ("last", F.col("_new"))}, size=size).drop("_new")
+    df = df.join(sets.withColumnRenamed("sets", "_ch"), [*KEYS, "as_of"], "left").withColumn("_ch", F.coalesce(
+        F.col("_ch"), F.array().cast("array<struct<top:double,bottom:double,strength:int>>")))
     c, prev = F.col("close"), F.col("_prev")
     outside = ~F.exists("_ch", lambda k: c.between(k["bottom"], k["top"]))
     up = F.exists("_ch", lambda k: (prev <= k["top"]) & (c > k["top"]))

@@ -379,7 +379,7 @@ def _(read):
 @query("w25_channel_breaks")
 def _(read):
     bars = bars_1d(read)
-    return V.channel_breaks(bars, V.channels(bars, p=10)).filter("resistance_broken or support_broken").select(
+    return V.channel_breaks(bars, V.channel_sets(bars, p=10)).filter("resistance_broken or support_broken").select(
         "symbol", "ts", "close", "resistance_broken", "support_broken")
 
 

@@ -95,6 +95,7 @@ def test_knn_sweep_equals_single_runs(bars):
 
 
 def naive_channels(p, prd, loopback, pct, most, span):
+    """Channels as of the newest pivot of p; none without a pivot."""
     high, low, n = p.high.to_numpy(), p.low.to_numpy(), len(p)
     vals, result = [], None
     for t in range(n):
@@ -108,6 +109,8 @@ def naive_channels(p, prd, loopback, pct, most, span):
             vals.insert(0, (t, high[i] if ph else low[i]))
             vals = [v for v in vals if t - v[0] <= loopback]
             result = (t, list(vals))
+    if result is None:
+        return []
     t, vals = result
     a = max(0, t - span + 1)
     width = (high[a:t + 1].max() - low[a:t + 1].min()) * pct / 100
@@ -143,6 +146,19 @@ def test_channels(bars, pbars):
     assert have == naive_channels(series(pbars), 4, 60, 5.0, 10, 80) and len(have) > 2
 
 
+def test_channel_breaks(bars, pbars):
+    """Every bar against the channels known on that bar, never later ones."""
+    got = V.channel_breaks(bars, V.channel_sets(bars, 4, 60, range_bars=80), size=90).filter("symbol = 'A'").orderBy("bar_no").toPandas()
+    p = series(pbars).iloc[:260]
+    for t in range(1, len(p)):
+        now = naive_channels(p.iloc[:t + 1], 4, 60, 5.0, 10, 80)
+        c, prev = p.close.iloc[t], p.close.iloc[t - 1]
+        outside = not any(b <= c <= a for a, b, _ in now)
+        assert got.resistance_broken[t] == (outside and any(prev <= a < c for a, _, _ in now)), t
+        assert got.support_broken[t] == (outside and any(prev >= b > c for _, b, _ in now)), t
+    assert got.resistance_broken.sum() > 3 and got.support_broken.sum() > 3
+
+
 def test_smart_levels(bars):
     prof = R.volume_profile(bars, 300, 100).cache()
     got = R.smart_levels(prof, 0.6, 0.03).filter("symbol = 'A'").toPandas().sort_values("price")
