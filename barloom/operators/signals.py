@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .indicators import add_regime, add_rsi, add_volume_features, add_macd, cross, macd_lookback, sma
-from .series import BLOCK_BARS, KEYS, Over, blocked, running, windowed
+from .series import BLOCK_BARS, KEYS, Over, blocked, number_bars, running, windowed
 
 
 def sma_cross(bars: DataFrame, n: int, size: int = BLOCK_BARS, keep_block: bool = False) -> DataFrame:
@@ -142,21 +142,26 @@ def transactions(trades: DataFrame, keys: Sequence[str] = KEYS, stake: float | N
             .select(*keys, "trade_no", "_t.*").filter(F.col("ts").isNotNull()))
 
 
-def next_opposite(signals: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
+def _runs(rows: DataFrame, flip: Column, keys: Sequence[str], size: int) -> DataFrame:
+    """Add ``run``, the number of side changes so far, to rows numbered by ``bar_no``; ``flip`` may look one row back."""
+    rows = windowed(rows.drop("_blk"), lambda df, o: df.withColumn("_flip", F.when(F.lag(flip, 1).over(o.ordered) != flip, 1).otherwise(0)),
+                    1, keys=keys, size=size)
+    return running(rows, {"run": ("sum", F.col("_flip"))}, keys, size).drop("_flip")
+
+
+def next_opposite(signals: DataFrame, keys: Sequence[str] = KEYS, size: int = BLOCK_BARS) -> DataFrame:
     """Each non-zero signal with the first later signal of the other side (else NULL).
 
-    Works on signal rows only; signals of one side in a row share their successor.
+    Signals of one side in a row are a run; the first signal of the next run is the successor of them all, and
+    comes by a join on the run's number.
     """
-    s = signals.filter(F.col("signal_type") != 0)
-    w = Window.partitionBy(*keys).orderBy("bar_no").rowsBetween(1, Window.unboundedFollowing)
-
-    def first_of(side: int) -> Column:
-        return F.min(F.when(F.col("signal_type") == side,
-                            F.struct("bar_no", "ts", "close"))).over(w)
-    nxt = F.when(F.col("signal_type") == 1, first_of(-1)).otherwise(first_of(1))
-    return (s.withColumn("_nx", nxt)
+    s = signals.filter(F.col("signal_type") != 0).drop("_blk").withColumnRenamed("bar_no", "_at")
+    s = _runs(number_bars(s, keys, size, order="_at"), F.col("signal_type"), keys, size)
+    s = s.drop("bar_no").withColumnRenamed("_at", "bar_no")
+    first = s.groupBy(*keys, (F.col("run") - 1).alias("run")).agg(F.min_by(F.struct("bar_no", "ts", "close"), "bar_no").alias("_nx"))
+    return (s.join(first, [*keys, "run"], "left")
             .withColumns({"next_bar_no": F.col("_nx.bar_no"), "next_ts": F.col("_nx.ts"),
-                          "next_close": F.col("_nx.close")}).drop("_nx"))
+                          "next_close": F.col("_nx.close")}).drop("_nx", "run"))
 
 
 def excursions(signals: DataFrame, keys: Sequence[str] = KEYS, size: int = BLOCK_BARS) -> DataFrame:
@@ -172,17 +177,13 @@ def excursions(signals: DataFrame, keys: Sequence[str] = KEYS, size: int = BLOCK
         F.min_by(F.struct("bar_no", "ts", "close", "signal_type", *extra), "bar_no").alias("s"),
         F.max(F.struct(F.col("close"), (-F.col("bar_no")).alias("at"))).alias("hi"),
         F.min(F.struct(F.col("close"), F.col("bar_no").alias("at"))).alias("lo"))
-    order = Window.partitionBy(*keys).orderBy("seg")
     side = F.col("s.signal_type")
-    seg = seg.withColumn("_flip", F.when(F.lag(side, 1).over(order) != side, 1).otherwise(0))
-    seg = seg.withColumn("run", F.sum("_flip").over(order))
+    seg = _runs(seg.withColumn("bar_no", F.col("seg")), side, keys, size).drop("bar_no")
     # the bar that ends a run is the first bar of the next one
-    seg = seg.withColumn("_next", F.min(F.when(F.col("_flip") == 1, F.struct("seg", "s"))).over(
-        order.rowsBetween(1, Window.unboundedFollowing)))
-    rest = Window.partitionBy(*keys, "run").orderBy("seg").rowsBetween(0, Window.unboundedFollowing)
-    seg = seg.withColumns({"_hi": F.max("hi").over(rest), "_lo": F.min("lo").over(rest)})
-    seg = seg.filter(F.col("_next").isNotNull())
-    x = F.col("_next.s")
+    ends = seg.groupBy(*keys, (F.col("run") - 1).alias("run")).agg(F.min_by("s", "seg").alias("_next"))
+    rest = Window.partitionBy(*keys, "run").orderBy(F.col("seg").desc()).rowsBetween(Window.unboundedPreceding, 0)
+    seg = seg.withColumns({"_hi": F.max("hi").over(rest), "_lo": F.min("lo").over(rest)}).join(ends, [*keys, "run"])
+    x = F.col("_next")
     hi = F.greatest(F.col("_hi"), F.struct(x["close"].alias("close"), (-x["bar_no"]).alias("at")))
     lo = F.least(F.col("_lo"), F.struct(x["close"].alias("close"), x["bar_no"].alias("at")))
     buy = side == 1
