@@ -64,7 +64,7 @@ def recover_rank(cells: Column, attrs: Column, text: Column, page: Column, row_n
 
 def recover_cap(cells: Column) -> Column:
     """Text of the market cap: cell 4, a financial cell with T/M/B, any amount with a scale."""
-    money = F.slice(cells, 4, 1000)
+    money = F.slice(cells, F.lit(4), F.size(cells))
     fixed = at(cells, 4)
     return F.coalesce(F.when(fixed.rlike("[TMB]"), fixed), first_of(money, lambda c: c.rlike("[TMB]")),
                       first_of(money, lambda c: c.rlike("(?i)[TMB]")),
@@ -83,7 +83,7 @@ def recover_price(cells: Column, attrs: Column, text: Column) -> Column:
         return c.contains("$") & ~c.rlike("[TMB]")
     fixed = at(cells, 5)
     attr = F.try_element_at(attrs, F.lit(6))
-    money, money_attrs = F.slice(cells, 4, 1000), F.slice(attrs, 4, 1000)
+    money, money_attrs = F.slice(cells, F.lit(4), F.size(cells)), F.slice(attrs, F.lit(4), F.size(attrs))
 
     def looks_like_rank(m: Column) -> Column:
         return _value(m).between(1, 500) & ~m.contains(".")

@@ -64,7 +64,7 @@ def signed_change(text, direction) -> Column:
     down = d.rlike("red|negative|down|loss")
     up = ~down & d.rlike("green|positive|up|gain")
     value = (F.when(down & ~t.startswith("-"), F.concat(F.lit("-"), t))
-             .when(up & t.startswith("-"), F.substring(t, 2, 1_000_000)).otherwise(t))
+             .when(up & t.startswith("-"), F.substring(t, F.lit(2), F.length(t))).otherwise(t))
     return F.when(t.rlike(r"[+-]?\d+\.?\d*%"), value).otherwise("")
 
 
@@ -81,9 +81,13 @@ MOJIBAKE = (("癡", "è"), ("脙", "Ã"), ("陇", "ç"), ("Ã¨", "è"), ("Ã©"
             ("Ã­", "í"), ("Ã³", "ó"), ("Ãº", "ú"), ("Ã±", "ñ"), ("羹", "ü"), ("脛", "ä"),
             ("枚", "ö"), ("脽", "ß"))
 
-# fixed values: country codes whose flags are replaced in holder names
-FLAG_CODES = ("US", "CA", "JP", "CN", "DE", "HK", "GB", "SG", "AU", "NL", "SE", "NO", "KR", "CY",
-              "BM", "VG", "KY")
+# fixed values: flags in holder names (their UTF-8 bytes read as Latin-1) and the country codes that replace them
+FLAGS = (("ð\x9f\x87ºð\x9f\x87¸", "US"), ("ð\x9f\x87¨ð\x9f\x87¦", "CA"), ("ð\x9f\x87¯ð\x9f\x87µ", "JP"),
+         ("ð\x9f\x87¨ð\x9f\x87³", "CN"), ("ð\x9f\x87©ð\x9f\x87ª", "DE"), ("ð\x9f\x87\xadð\x9f\x87°", "HK"),
+         ("ð\x9f\x87¬ð\x9f\x87§", "GB"), ("ð\x9f\x87¸ð\x9f\x87¬", "SG"), ("ð\x9f\x87¦ð\x9f\x87º", "AU"),
+         ("ð\x9f\x87³ð\x9f\x87±", "NL"), ("ð\x9f\x87¸ð\x9f\x87ª", "SE"), ("ð\x9f\x87³ð\x9f\x87´", "NO"),
+         ("ð\x9f\x87°ð\x9f\x87·", "KR"), ("ð\x9f\x87¨ð\x9f\x87¾", "CY"), ("ð\x9f\x87§ð\x9f\x87²", "BM"),
+         ("ð\x9f\x87»ð\x9f\x87¬", "VG"), ("ð\x9f\x87°ð\x9f\x87¾", "KY"), ("ð\x9d\x87°ð\x9d\x87¾", "KY"))
 
 
 def normalize_company(name) -> Column:
@@ -110,20 +114,17 @@ def nfc(text: pd.Series) -> pd.Series:
 
 
 def normalize_text(text) -> Column:
-    return F.trim(nfc(repair_text(text)))
-
-
-def flag_of(code: str) -> str:
-    """The two flag letters of a country code, as their UTF-8 bytes read as Latin-1."""
-    return "".join(chr(0x1F1E6 + ord(ch) - ord("A")) for ch in code).encode("utf-8").decode("latin-1")
+    repaired = repair_text(text)
+    # ASCII text is composed already and stays in the JVM
+    return F.trim(F.coalesce(nfc(F.when(repaired.rlike(r"[^\x00-\x7F]"), repaired)), repaired))
 
 
 def clean_holder(name) -> Column:
     """Rank digits and tags off, flags to country codes, other non-ASCII to spaces."""
     out = F.regexp_replace(F.trim(_c(name)), r"^\d+\s*", "")
     out = F.replace(F.replace(out, F.lit("Update "), F.lit("")), F.lit("New "), F.lit(""))
-    for code in FLAG_CODES:
-        out = F.replace(out, F.lit(flag_of(code)), F.lit(f"{code} "))
+    for flag, code in FLAGS:
+        out = F.replace(out, F.lit(flag), F.lit(f"{code} "))
     out = F.regexp_replace(out, r"[^\x00-\x7F]+", " ")
     out = F.regexp_replace(out, r"[^\w\s&.-]", "")
     return F.trim(F.regexp_replace(out, r"\s+", " "))

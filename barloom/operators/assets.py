@@ -283,7 +283,8 @@ def unique_symbols(df: DataFrame, order: str = "row_id", size: int = BLOCK_BARS)
     """Later occurrences of a symbol get the next free number from 2 on as a suffix.
 
     Occurrences are numbered by span counts, so a symbol carried by a third of the rows
-    is not one task.  Numbers already used by a natural symbol are skipped.
+    is not one task.  Numbers already used by a natural symbol are skipped; a number of
+    over 18 digits is out of reach of any count.
     """
     numbered = number_bars(df, ("symbol",), size, order)
     natural = df.select("symbol").distinct()
@@ -291,11 +292,11 @@ def unique_symbols(df: DataFrame, order: str = "row_id", size: int = BLOCK_BARS)
     parts = natural.withColumn("cut", F.explode(F.sequence(F.lit(1), F.length("symbol"))))
     parts = parts.select(F.expr("left(symbol, cut)").alias("symbol"),
                          F.expr("substring(symbol, cut + 1)").alias("_num"))
-    taken = (parts.filter(F.col("_num").rlike(r"^[1-9]\d{0,8}$"))
+    taken = (parts.filter(F.col("_num").rlike(r"^[1-9]\d{0,17}$"))
              .join(natural, "symbol").groupBy("symbol")
-             .agg(F.sort_array(F.collect_set(F.col("_num").cast("int"))).alias("_taken")))
+             .agg(F.sort_array(F.collect_set(F.col("_num").cast("long"))).alias("_taken")))
     df2 = numbered.join(taken, "symbol", "left")
-    n = F.aggregate(F.coalesce(F.col("_taken"), F.array().cast("array<int>")), F.col("bar_no").cast("int") + 1,
+    n = F.aggregate(F.coalesce(F.col("_taken"), F.array().cast("array<long>")), F.col("bar_no") + 1,
                     lambda acc, t: F.when((t >= 2) & (t <= acc), acc + 1).otherwise(acc))
     keep = (F.col("bar_no") == 0) | F.col("symbol").isin("", "N/A") | F.col("symbol").isNull()
     return (df2.withColumn("unique_symbol", F.when(keep, F.col("symbol"))
@@ -341,7 +342,8 @@ def contains_pairs(a: DataFrame, b: DataFrame, q: int = 12) -> DataFrame:
 def apply_classification_fuzzy(df: DataFrame, cls: DataFrame, key: str = "row_id") -> DataFrame:
     """Category when one name contains the other (any case); the earlier one wins."""
     names = df.select(F.col(key).alias("a_key"), F.lower("name").alias("a_text"))
-    known = cls.select(F.col("cls_id").alias("b_key"), F.lower("name").alias("b_text"))
+    # of classes of one name only the earliest can win
+    known = cls.groupBy(F.lower("name").alias("b_text")).agg(F.min("cls_id").alias("b_key"))
     forward = contains_pairs(names, known)
     backward = contains_pairs(known.select(F.col("b_key").alias("a_key"), F.col("b_text").alias("a_text")),
                               names.select(F.col("a_key").alias("b_key"), F.col("a_text").alias("b_text"))

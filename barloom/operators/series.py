@@ -27,7 +27,7 @@ KEYS = ("symbol", "timeframe")
 BLOCK_BARS = 65_536
 
 # seconds per unit letter of a timeframe such as 15m, 4h, 1d, 1w, 1M
-_UNIT_SECONDS = (("m", 60), ("h", 3600), ("H", 3600), ("d", 86400), ("D", 86400),
+_UNIT_SECONDS = (("s", 1), ("m", 60), ("h", 3600), ("H", 3600), ("d", 86400), ("D", 86400),
                  ("w", 604800), ("W", 604800), ("M", 2592000))
 
 
@@ -56,10 +56,10 @@ class Over:
 def timeframe_seconds(timeframe: Column) -> Column:
     count = F.coalesce(F.regexp_extract(timeframe, r"^(\d+)", 1).try_cast("long"), F.lit(1))
     unit = F.regexp_extract(timeframe, r"([A-Za-z])$", 1)
-    seconds = F.lit(86400)
+    seconds = F.lit(1)
     for letter, size in _UNIT_SECONDS:
         seconds = F.when(unit == letter, F.lit(size)).otherwise(seconds)
-    return F.greatest(count * seconds, F.lit(60)).cast("long")
+    return F.greatest(count * seconds, F.lit(1)).cast("long")
 
 
 def epoch_seconds(ts: str | Column) -> Column:
@@ -70,8 +70,9 @@ def epoch_seconds(ts: str | Column) -> Column:
 def _span(bars: DataFrame, size: int, order: str) -> Column:
     if order != "ts":
         return F.floor(F.col(order) / size)
-    # without a timeframe the finest usual bar, a minute, bounds the rows of a span
-    step = timeframe_seconds(F.col("timeframe")) if "timeframe" in bars.columns else F.lit(60).cast("long")
+    # without a (known) timeframe a span is as many seconds; coarser bars then fill spans less, and there are
+    # never more spans than bars, nor than the calendar has
+    step = timeframe_seconds(F.col("timeframe")) if "timeframe" in bars.columns else F.lit(1).cast("long")
     return F.floor(epoch_seconds("ts") / (step * F.lit(size)))
 
 

@@ -376,17 +376,15 @@ def _(read):
     return A.apply_classification(feed(read).select("ticker", "name"), classes(read)).na.fill("", ["category"])
 
 
-@query("j10_classification_fuzzy", """WITH d AS (SELECT p_partkey AS row_id, p_name AS name FROM part), k AS (SELECT n_nationkey AS cls_id, split_part(p_name, ' ', 1 + n_nationkey % 2) || CASE WHEN n_nationkey % 5 = 0 THEN '' ELSE ' ' || split_part(p_name, ' ', 2) END AS name, n_name AS category FROM nation JOIN part ON p_partkey = n_nationkey * 3),
-m AS (SELECT row_id, arg_min(category, cls_id) AS category FROM d JOIN k ON contains(lower(d.name), lower(k.name)) OR contains(lower(k.name), lower(d.name)) GROUP BY 1)
-SELECT row_id, d.name, coalesce(m.category, CASE WHEN contains(d.name, 'gold') OR contains(d.name, 'silver') OR contains(d.name, 'copper') THEN 'Precious Metals' ELSE 'Other' END) AS category FROM d LEFT JOIN m USING (row_id)""")
+@query("j10_classification_fuzzy", """WITH d AS (SELECT p_partkey AS row_id, p_name AS name FROM part), k AS (SELECT p_partkey AS cls_id, split_part(p_name, ' ', 1 + p_partkey % 2) || CASE WHEN p_partkey % 5 = 0 THEN '' ELSE ' ' || split_part(p_name, ' ', 2) END AS name, p_brand AS category FROM part),
+first AS (SELECT min(cls_id) AS cls_id, lower(name) AS name FROM k GROUP BY 2),
+m AS (SELECT row_id, min(first.cls_id) AS cls_id FROM d JOIN first ON contains(lower(d.name), first.name) OR contains(first.name, lower(d.name)) GROUP BY 1)
+SELECT row_id, d.name, coalesce(k.category, CASE WHEN contains(d.name, 'gold') OR contains(d.name, 'silver') OR contains(d.name, 'copper') THEN 'Precious Metals' ELSE 'Other' END) AS category FROM d LEFT JOIN m USING (row_id) LEFT JOIN k USING (cls_id)""")
 def _(read):
     part = read("part")
-    df = part.selectExpr("p_partkey AS row_id", "p_name AS name")
-    word = "split_part(p_name, ' ', {})"
-    cls = read("nation").join(part, F.col("p_partkey") == F.col("n_nationkey") * 3).selectExpr(
-        "CAST(n_nationkey AS BIGINT) AS cls_id", "CASE WHEN n_nationkey % 2 = 0 THEN split_part(p_name, ' ', 1) ELSE split_part(p_name, ' ', 2) END || CASE WHEN n_nationkey % 5 = 0 THEN '' ELSE ' ' || split_part(p_name, ' ', 2) END AS name",
-        "n_name AS category")
-    return A.apply_classification_fuzzy(df, cls).select("row_id", "name", "category")
+    cls = part.selectExpr("p_partkey AS cls_id", "split_part(p_name, ' ', CAST(1 + p_partkey % 2 AS INT)) || CASE WHEN p_partkey % 5 = 0 THEN '' ELSE ' ' || split_part(p_name, ' ', 2) END AS name",
+                          "p_brand AS category")
+    return A.apply_classification_fuzzy(part.selectExpr("p_partkey AS row_id", "p_name AS name"), cls).select("row_id", "name", "category")
 
 
 @query("j15_d6_missing_ranks", "SELECT i::INT AS rank, ceil(i / 100)::INT AS page FROM range(1, 501) t(i) WHERE i NOT IN (SELECT s_suppkey * 3 FROM supplier)")

@@ -149,11 +149,11 @@ def _(read):
 
 
 @query("a24_best_timeframes", f"""{SQL_EXC} SELECT timeframe, symbol, count(*) FILTER (final_return_pct > 0) * 100.0 / count(*) AS combined_accuracy, count(*) AS all_signals FROM exc GROUP BY 1, 2
-ORDER BY 3 DESC, 2 LIMIT 3""", r6="combined_accuracy")
+ORDER BY 3 DESC, 2""", r6="combined_accuracy")
 def _(read):
     best = excursion_frame(read).groupBy("timeframe", "symbol").agg(
         (F.count_if(F.col("final_return_pct") > 0) * 100.0 / F.count("*")).alias("combined_accuracy"), F.count("*").alias("all_signals"))
-    return P.top_params(best, "combined_accuracy", 3, tie=("symbol",))
+    return best.orderBy(F.col("combined_accuracy").desc_nulls_last(), "symbol")
 
 
 @query("a25_monthly_by_side", f"""{SQL_EXC} SELECT date_trunc('month', entry_time)::TIMESTAMP AS month, signal_type, count(*) AS n_signals, avg(final_return_pct) AS avg_return,

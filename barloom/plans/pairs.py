@@ -146,9 +146,9 @@ def _(read):
     return pair_frame(read).select("ts", "close_ratio", U.ratio_level(F.col("close_ratio") / 10).alias("ratio_level"))
 
 
-@query("p30_quote_currency", """SELECT event_type || '/USDT' AS pair, count(*) AS n, sum(value * r) AS total_usd FROM events, (SELECT max(value) FILTER (event_type = 'error' AND event_id < 100) / 100 AS r FROM events) GROUP BY 1""", r2="total_usd")
+@query("p30_quote_currency", """SELECT event_type || '/USDT' AS pair, count(*) AS n, sum(value * r) AS total_usd FROM events, (SELECT max(value) FILTER (event_type = 'error') / 100 AS r FROM events) GROUP BY 1""", r2="total_usd")
 def _(read):
-    rate = read("events").filter("event_type = 'error' and event_id < 100").select((F.col("value") / 100).alias("usd_rate"))
+    rate = read("events").filter("event_type = 'error'").select((F.col("value") / 100).alias("usd_rate"))
     return (A.to_usd_quote(event_ticks(read), rate).groupBy("pair").agg(F.count("*").alias("n"), F.sum("price_usd").alias("total_usd")))
 
 
