@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import shared_folder
 from ..streaming import streams as W
 from .inputs import SQL_1H, SQL_4H, bars_1h, sql_event_bars, sql_macd
 from .registry import query
@@ -14,10 +15,7 @@ from .registry import query
 
 def _folder(spark) -> str:
     """A new folder beside the checkpoints of the session."""
-    shared = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
-    if shared is None:
-        return tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-    return f"{shared}/stream-{next(tempfile._get_candidate_names())}"
+    return f"{shared_folder(spark)}/stream-{uuid.uuid4().hex[:12]}"
 
 
 def tick_stream(read) -> DataFrame:
@@ -40,17 +38,22 @@ def finished(stream: DataFrame, mode: str) -> DataFrame:
     return spark.read.schema(stream.schema).parquet(f"{out}/data").withColumn("ts", F.col("ts").cast("timestamp_ntz"))
 
 
-@query("r2_stream_bars", f"WITH {sql_event_bars(4)} SELECT * FROM bars", r6="open high low close")
+#: Windows that the watermark has closed: those that end ten minutes before the newest tick, or earlier.
+CLOSED = "(SELECT max(ts) - INTERVAL 10 MINUTE FROM events)"
+
+
+@query("r2_stream_bars", f"WITH {sql_event_bars(4)} SELECT * FROM bars WHERE ts + INTERVAL 4 HOUR <= {CLOSED}", r6="open high low close")
 def _(read):
-    """Live ticks to bars, all windows kept; the same rows as the batch operator."""
-    return finished(W.stream_bars(tick_stream(read), "4 hours", "4h"), "complete")
+    """Live ticks, repeats removed, to bars; a bar is written once, when the watermark has passed it."""
+    return finished(W.stream_bars(W.with_policy(tick_stream(read)), "4 hours", "4h"), "append")
 
 
 @query("r1_stream_ratio", f"""{SQL_1H}, m AS (SELECT event_type AS symbol, time_bucket(INTERVAL '1 hour', ts) AS ts, last(value ORDER BY ts, event_id) AS price FROM events WHERE event_type IN ('click', 'view') GROUP BY 1, 2)
-SELECT a.ts, a.price AS a_price, v.price AS b_price, a.price / v.price AS ratio FROM m a JOIN m v ON v.ts = a.ts AND v.symbol = 'view' WHERE a.symbol = 'click'""",
+SELECT a.ts, a.price AS a_price, v.price AS b_price, a.price / v.price AS ratio FROM m a JOIN m v ON v.ts = a.ts AND v.symbol = 'view' WHERE a.symbol = 'click' AND a.ts + INTERVAL 1 HOUR <= (SELECT max(ts) - INTERVAL 10 MINUTE FROM events WHERE event_type IN ('click', 'view'))""",
        r6="a_price b_price ratio")
 def _(read):
-    return finished(W.stream_ratio(tick_stream(read), "click", "view", "1 hour"), "complete")
+    ticks = tick_stream(read).filter(F.col("symbol").isin("click", "view"))
+    return finished(W.stream_ratio(W.with_policy(ticks), "click", "view", "1 hour"), "append")
 
 
 @query("r3_stream_alerts", f"{SQL_1H}, {sql_macd()} SELECT symbol, timeframe, ts, close, signal_type FROM macd WHERE signal_type <> 0", r6="close")
