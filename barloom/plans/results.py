@@ -134,11 +134,11 @@ def _(read):
     return a.unionByName(b)
 
 
-@query("p26_clean_import", """SELECT o_orderkey, CASE WHEN o_orderkey % 10 <> 0 THEN strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') END AS entry_time, CASE WHEN o_orderkey % 4 NOT IN (0, 1) THEN nullif(o_custkey, 0)::INT END AS duration FROM orders""")
+@query("p26_clean_import", """SELECT o_orderkey, CASE WHEN o_orderkey % 10 <> 0 THEN strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') END AS entry_time, CASE WHEN o_orderkey % 4 NOT IN (0, 1) THEN nullif(o_custkey, 0)::DOUBLE END AS duration FROM orders""")
 def _(read):
     df = read("orders").selectExpr("o_orderkey", "CASE WHEN o_orderkey % 10 = 0 THEN 'bad' ELSE CAST(o_orderdate AS STRING) END AS entry_time",
                                    "CASE o_orderkey % 4 WHEN 0 THEN '0' WHEN 1 THEN 'x' ELSE CAST(o_custkey AS STRING) || '.0' END AS duration")
-    return O.clean_import(df, ["entry_time"], ["duration"])
+    return O.clean_import(df, ["entry_time"], ["duration"]).withColumn("duration", F.col("duration").cast("double"))
 
 
 @query("p27_label_trend", f"""{SQL_4H}, {sql_knn_trend()} SELECT symbol, ts, CASE trend WHEN 'up' THEN 'BULLISH' WHEN 'down' THEN 'BEARISH' ELSE 'NEUTRAL' END AS trend_direction, signal_type = 1 AS buy_signal, signal_type = -1 AS sell_signal,
