@@ -238,7 +238,8 @@ def sweep_knn(bars: DataFrame, ks: Sequence[int], windows: Sequence[int], ma_len
 
 def sample_params(params: DataFrame, n: int, seed: int = 42) -> DataFrame:
     """Seeded sample of a grid, the same on every run and cluster."""
-    return params.orderBy(F.xxhash64(*params.columns, F.lit(seed)), *params.columns).limit(n)
+    rank = F.md5(F.concat_ws(",", *params.columns, F.lit(str(seed))))
+    return params.orderBy(rank, *params.columns).limit(n)
 
 
 def grid(spark, **axes: Sequence[int]) -> DataFrame:

@@ -308,11 +308,13 @@ def _(read):
     return G.strategy_report({"strategy": P.curve_metrics(curve_frame(read))})
 
 
-@query("t5_sample_params")
+@query("t5_sample_params", f"""{sql_macd_sweep()}, p AS (SELECT fast, slow, signal FROM (SELECT DISTINCT fast, slow, signal FROM res) ORDER BY md5(concat_ws(',', fast, slow, signal, '42')) LIMIT 50)
+SELECT symbol, fast, slow, signal, total_return FROM res JOIN p USING (fast, slow, signal)""", r4="total_return")
 def _(read):
-    """Fifty parameter sets per run of the grid, joined to the sweep results."""
-    picked = G.sample_params(macd_sweep_frame(read).select("fast", "slow", "signal").distinct(), 50)
-    return picked
+    """Fifty parameter sets of the grid, with their results."""
+    swept = cut_lineage(macd_sweep_frame(read))
+    return swept.join(G.sample_params(swept.select("fast", "slow", "signal").distinct(), 50), ["fast", "slow", "signal"]).select(
+        "symbol", "fast", "slow", "signal", "total_return")
 
 
 @query("t7_order_results", f"{sql_macd_sweep()} SELECT symbol, fast, slow, signal, total_return FROM res WHERE total_trades > 0 ORDER BY total_return DESC", r4="total_return")
