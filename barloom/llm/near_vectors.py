@@ -70,7 +70,6 @@ def compare(pdf: pd.DataFrame, least: float) -> pd.DataFrame:
     nodes = np.concatenate([first["node"].to_numpy(), np.zeros(0, np.int64) if same else second["node"].to_numpy()])
     left, right = first["node"].to_numpy(), second["node"].to_numpy()
     far = np.iinfo(np.int64).max
-    name = dict.fromkeys(nodes.tolist())
     x, y = left.copy(), right.copy()
     while True:                                                 # the smallest node spreads over the links of this task
         new_x = np.minimum(x, np.where(near, y[None], far).min(1, initial=far))
@@ -78,7 +77,6 @@ def compare(pdf: pd.DataFrame, least: float) -> pd.DataFrame:
         if np.array_equal(new_x, x) and np.array_equal(new_y, y):
             break
         x, y = new_x, new_y
-    del name
     out = pd.DataFrame({"node": nodes, "links": links, "other": np.concatenate([x, y[:0] if same else y])})
     return out[out["links"] > 0]
 
