@@ -4,8 +4,6 @@ import numpy as np
 import pandas as pd
 import pytest
 
-SF = "/root/testdata/sf0.001"
-
 
 def syllables(rng: random.Random, n: int) -> str:
     return " ".join("".join(rng.choices(("an", "the", "ou", "er", "ti", "ß", "wh", "Re"), k=rng.randint(1, 4))) + rng.choice(("", "", "", ",", ".", "\n")) for _ in range(n))

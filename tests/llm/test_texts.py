@@ -7,9 +7,9 @@ from collections import Counter
 
 import numpy as np
 import pytest
-from conftest import SF  # noqa: F401
 from pyspark.sql import functions as F
 
+SF = "/root/testdata/sf0.01"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 
@@ -287,7 +287,7 @@ def test_reduction_is_optimal():
 # quality ------------------------------------------------------------------------------------------------------
 def test_quality_held_out(spark, messy, nothing):
     from barloom.llm.quality import accepted, quality
-    docs, labels = spark.read.parquet(f"{SF.replace('0.001', '0.01')}/documents.parquet"), spark.read.parquet(f"{SF.replace('0.001', '0.01')}/labels.parquet")
+    docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
     got = quality(docs, labels).join(labels, "doc_id").toPandas()
     assert (got.held_out == got.doc_id.map(lambda d: zlib.crc32(str(d).encode()) % 5 == 0)).all()
     out = got[got.held_out]
