@@ -117,30 +117,40 @@ def _ends(bars: DataFrame) -> DataFrame:
     return bars.groupBy(*KEYS).agg(F.max_by("close", "ts").alias("_end"))
 
 
-def _per_block(bars: DataFrame, lookback: int, fn, out_fields: str, size: int) -> DataFrame:
-    """Run a numpy function per block with its lead-in; it emits rows for own bars only."""
+def _per_block(bars: DataFrame, lookback: int, slices: Sequence, fn, out_fields: str, size: int) -> DataFrame:
+    """Run a numpy function per block, with its lead-in, and slice of the grid; it emits rows for own bars only.
+
+    A slice sees the whole block, so one long series keeps as many tasks busy as it has blocks times slices.
+    """
     numbered = bars if "bar_no" in bars.columns else number_bars(bars, KEYS, size)
     spread = (numbered.withColumn("_home", F.floor(F.col("bar_no") / size))
               .withColumn("_blk", F.explode(F.sequence(
-                  F.floor(F.col("bar_no") / size), F.floor((F.col("bar_no") + lookback) / size)))))
+                  F.floor(F.col("bar_no") / size), F.floor((F.col("bar_no") + lookback) / size))))
+              .withColumn("_slice", F.explode(F.sequence(F.lit(0), F.lit(len(slices) - 1)))))
     schema = f"symbol string, timeframe string, bar_no bigint, close double, {out_fields}"
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        return fn(pdf.sort_values("bar_no", ignore_index=True))
-    return spread.groupBy(*Over(KEYS).keys).applyInPandas(run, schema)
+        return fn(pdf.sort_values("bar_no", ignore_index=True), slices[int(pdf["_slice"].iat[0])])
+    return spread.groupBy(*Over(KEYS).keys, "_slice").applyInPandas(run, schema)
 
 
 def _ewm(x: np.ndarray, alphas: np.ndarray, first_no: int) -> np.ndarray:
     """Normalised exponential means of the columns of x, all smoothing factors at once."""
-    top = np.zeros((x.shape[1], len(alphas))) if x.ndim == 2 else np.zeros(len(alphas))
-    out = np.empty((len(x), *top.shape))
-    q = 1.0 - alphas
-    weight = np.zeros(len(alphas))
-    for i in range(len(x)):
-        top = top * q + (x[i][:, None] if x.ndim == 2 else x[i])
-        weight = weight * q + 1.0
-        out[i] = top / weight
-    return out
+    columns = x.reshape(len(x), -1)
+    q = np.maximum(1.0 - alphas, 1e-12)
+    # inside a segment the weighted values are a running sum; the end of the one before is carried over
+    step = int(min(64, max(1, 600 / -np.log(q.min()))))
+    j = np.arange(step)[:, None]
+    up, down = (q[None] ** -j)[:, None], (q[None] ** j)[:, None]
+    out = np.empty((len(x), columns.shape[1], len(alphas)))
+    carry = np.zeros(out.shape[1:])
+    for at in range(0, len(x), step):
+        part = columns[at:at + step, :, None]
+        k = len(part)
+        out[at:at + k] = (np.cumsum(part * up[:k], axis=0) + carry * q) * down[:k]
+        carry = out[at + k - 1]
+    out /= ((1 - q ** (np.arange(len(x))[:, None] + 1)) / (1 - q))[:, None]
+    return out if x.ndim == 2 else out[:, 0]
 
 
 def sweep_macd(bars: DataFrame, fast: Sequence[int] = range(5, 20), slow: Sequence[int] = range(20, 35),
@@ -150,7 +160,7 @@ def sweep_macd(bars: DataFrame, fast: Sequence[int] = range(5, 20), slow: Sequen
 
     The signal line is linear in its input, so it is the difference of two smoothed means
     that depend on one span each: 30 spans x 10 signals instead of 2,250 sets.  A block
-    computes those with numpy over all sets at once and emits only the crossings.
+    computes those with numpy, a task for each signal span, and emits only the crossings.
     """
     fast, slow, signal = list(fast), list(slow), list(signal)
     spans = sorted(set(fast) | set(slow))
@@ -158,14 +168,14 @@ def sweep_macd(bars: DataFrame, fast: Sequence[int] = range(5, 20), slow: Sequen
     sets = np.array([(f, s) for f, s in product(fast, slow) if f < s], dtype=np.int64)
     back = 2 * max(ewm_lookback(span_alpha(s)) for s in (*spans, *signal)) + 1
 
-    def fn(pdf: pd.DataFrame) -> pd.DataFrame:
+    def fn(pdf: pd.DataFrame, signals: Sequence[int]) -> pd.DataFrame:
         close, no = pdf["close"].to_numpy(), pdf["bar_no"].to_numpy()
         mean = _ewm(close, np.array([span_alpha(s) for s in spans]), no[0])
         f, s = [col[x] for x in sets[:, 0]], [col[x] for x in sets[:, 1]]
         line = mean[:, f] - mean[:, s]
         own = no // size == pdf["_blk"].to_numpy()
         found = []
-        for g in signal:
+        for g in signals:
             smooth = _ewm(mean, np.array([span_alpha(g)]), no[0])[:, :, 0]
             gap = line - (smooth[:, f] - smooth[:, s])
             up = (gap[1:] > 0) & (gap[:-1] <= 0)
@@ -179,7 +189,7 @@ def sweep_macd(bars: DataFrame, fast: Sequence[int] = range(5, 20), slow: Sequen
                 "signal_type": np.where(up[at, which], 1, -1).astype(np.int32)}))
         return pd.concat(found, ignore_index=True)
     by = (*KEYS, "fast", "slow", "signal")
-    events = _per_block(bars.select(*KEYS, "ts", "close"), back, fn,
+    events = _per_block(bars.select(*KEYS, "ts", "close"), back, [[g] for g in signal], fn,
                         "fast int, slow int, signal int, signal_type int", size)
     return _summarise(_event_trades(events, _ends(bars), by, size), by, capital)
 
@@ -197,12 +207,12 @@ def sweep_knn(bars: DataFrame, ks: Sequence[int], windows: Sequence[int], ma_len
     grid = [(m, w, sorted(k for k in ks if k <= w)) for m, w in product(ma_lens, windows) if m >= 2]
     back = max(ewm_lookback(span_alpha(m)) for m, _, _ in grid) + max(windows) + max(ma_lens) + 10
 
-    def fn(pdf: pd.DataFrame) -> pd.DataFrame:
+    def fn(pdf: pd.DataFrame, cells: Sequence[tuple]) -> pd.DataFrame:
         no, close = pdf["bar_no"].to_numpy(), pdf["close"].to_numpy()
         hl2 = (pdf["high"].to_numpy() + pdf["low"].to_numpy()) / 2
         own = no // size == pdf["_blk"].to_numpy()
         found = []
-        for m, w, k_list in grid:
+        for m, w, k_list in cells:
             value = pd.Series(hl2).rolling(m, min_periods=1).mean().to_numpy()
             target = pd.Series(close).ewm(span=m, adjust=False).mean().to_numpy()
             if len(no) <= w or not k_list:
@@ -230,7 +240,7 @@ def sweep_knn(bars: DataFrame, ks: Sequence[int], windows: Sequence[int], ma_len
                                  **{c: np.empty(0, np.int32) for c in ("k", "window", "ma_len", "signal_type")}})
         return pd.concat(found, ignore_index=True)
     by = (*KEYS, "k", "window", "ma_len")
-    events = _per_block(bars.select(*KEYS, "ts", "high", "low", "close"), back, fn,
+    events = _per_block(bars.select(*KEYS, "ts", "high", "low", "close"), back, [[cell] for cell in grid], fn,
                         "k int, window int, ma_len int, signal_type int", size)
     out = _summarise(_event_trades(events, _ends(bars), by, size), by, capital)
     return out.withColumn("smoothing", F.explode(F.array(*[F.lit(s) for s in smoothings])))
