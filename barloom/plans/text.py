@@ -173,13 +173,11 @@ def _(read):
     return _cells(read).select("row_id", F.coalesce(C.recover_cap(F.col("cells")), F.lit("")).alias("cap"))
 
 
-@query("s23_recover_price", """SELECT o_orderkey AS row_id, CASE WHEN o_orderkey % 7 <> 0 THEN '$' || (o_custkey % 5000) || '.25' WHEN o_orderkey % 14 = 0 THEN '$777.50' ELSE 'other' END AS price FROM orders""")
+@query("s23_recover_price", """SELECT o_orderkey AS row_id, CASE WHEN o_orderkey % 7 <> 0 THEN '$' || (o_custkey % 5000) || '.25' WHEN o_orderkey % 14 = 0 THEN '$777.50'
+  WHEN o_orderkey % 3 <> 0 THEN '$' || (o_custkey % 900) || '.5' WHEN o_custkey % 700 > 500 THEN '$' || (o_custkey % 700) ELSE '$' || (o_custkey % 20) || '.5' END AS price FROM orders""")
 def _(read):
-    df = _cells(read)
-    price = C.recover_price(F.col("cells"), F.col("attrs"), F.array_join("cells", " "))
-    # rows without a price cell fall to the number scan, checked on small cases in the tests
-    plain = (F.col("row_id") % 7 == 0) & (F.col("row_id") % 14 != 0)
-    return df.select("row_id", F.when(plain, "other").otherwise(price).alias("price"))
+    """Rows without a price cell or attribute fall to a currency amount, then to a number that is no rank."""
+    return _cells(read).select("row_id", C.recover_price(F.col("cells"), F.col("attrs"), F.array_join("cells", " ")).alias("price"))
 
 
 @query("s25_recover_change", """SELECT o_orderkey AS row_id, CASE WHEN o_orderkey % 6 <> 0 THEN (o_custkey % 20) || '.5%' WHEN o_orderkey % 12 = 0 THEN '-3.5%' ELSE '' END AS change FROM orders""")
