@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import cut
+from .shared import cut, partitions
 
 WORD = r"[^\x20\x09-\x0D]+"
 ROUNDS = 8
@@ -86,7 +86,7 @@ def slots(sources: DataFrame, block: int = 32, limit: int = 3, shard_slots: int
     counted = counted.withColumn("_base", F.coalesce(F.sum("_slots").over(before), F.lit(0))).withColumn("_all", F.sum("_slots").over(every)).where("_slots > 0")
     step = 4096
     made = counted.withColumn("_c", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("_slots") - 1) / step)))) \
-        .repartition(F.col("_s"), F.col("_c")) \
+        .repartition(partitions(sources.sparkSession), "_s", "_c") \
         .withColumn("_k", F.explode(F.sequence(F.col("_c") * step, F.least((F.col("_c") + 1) * step, "_slots") - 1)))
     made = made.withColumn("block", permuted(F.pmod("_k", F.col("_n")), F.col("_n"), F.col("_s"), F.floor(F.col("_k") / F.col("_n")))) \
         .withColumn("_at", permuted(F.col("_base") + F.col("_k"), F.col("_all"), F.lit("shards")))
