@@ -1,9 +1,11 @@
 """Exact Jaccard join of word n-gram sets: rare n-grams find candidates, a prefix tree joins them.
 
 1. Each text's set gets a 64-bit key; texts with one key (and size) are one class.  From here on classes are joined.
-2. A global order of n-grams: a fifth of them (by hash) first, the rare before the common, then the rest by
-   hash.  Two sets with similarity ``percent`` share one of their first n - ceil(percent n) + 1 in any such
-   order.  Most texts have enough n-grams that no other class has, so nothing of them is left here.
+2. A global order of n-grams: some of them (by hash) first, the rare before the common, then the rest by hash.
+   Two sets with similarity ``percent`` share one of their first n - ceil(percent n) + 1 in any such order.
+   Most texts have enough n-grams that no other class has, so nothing of them is left here.  A quarter of all
+   n-grams is enough to count for sets of over ``SMALL``; smaller sets have an order of their own, which counts
+   all of theirs, and sets of a size that both kinds can be like are in both.
 3. Classes that share such an n-gram form a candidate group (``components`` over stars, never pairs).
 4. A group's sets, common n-grams first, go into a prefix tree.  A set walks down the tree; what it shares with
    a path is counted once for all sets below; a subtree is left when its lengths, or what remains of the set or
@@ -26,12 +28,13 @@ from pyspark.sql import functions as F
 
 from .bytetext import RangeHash, chunks, lower, mix, words
 from .links import components
-from .shared import cut
+from .shared import cut, partitions
 
 U = np.uint64
 MULTIPLIERS = np.random.default_rng(29).integers(1, 2**62, 16, U) * U(2) + U(1)
 NO_ID = 2**63 - 1
-SHARE = 5            #: the first fifth of the order, whose n-grams are counted
+SHARE = 4            #: in the order of large sets, one in so many n-grams comes first and is counted
+SMALL = 160          #: sets of up to so many n-grams meet in an order of their own
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, width: int, hasher: RangeHash):
@@ -69,7 +72,7 @@ def set_keys(owner: np.ndarray, grams: np.ndarray, sizes: np.ndarray) -> np.ndar
 
 
 def _keyed(docs: DataFrame, width: int) -> DataFrame:
-    """doc_id, text_hash, n, counted (n-grams of the counted fifth), key of each text."""
+    """doc_id, text_hash, n, counted (n-grams that the order of large sets counts), key of each text."""
     def run(batches):
         hasher = RangeHash(17)
         for b in batches:
@@ -83,7 +86,7 @@ def _keyed(docs: DataFrame, width: int) -> DataFrame:
 
 
 def _leading(docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """token, key, late: each class's n-grams of the counted fifth, and (late) as many others as its prefix lacks."""
+    """token, key, small, late: each class's counted n-grams, and (late) as many others as its prefix lacks."""
     def run(batches):
         hasher, seen = RangeHash(17), np.zeros(0, np.int64)
         for b in batches:
@@ -96,20 +99,20 @@ def _leading(docs: DataFrame, width: int, percent: int) -> DataFrame:
                 once &= ~np.isin(keys, seen)                       # copies within the task add nothing
                 seen = np.concatenate([seen, keys[once]])
                 prefix = sizes - -(-percent * sizes // 100) + 1
+                is_small = once & (sizes <= SMALL)
+                is_large = once & (100 * sizes > percent * SMALL)
                 counted = grams % U(SHARE) == 0
                 n_counted = np.bincount(owner[counted], minlength=len(sizes))
                 rest = np.flatnonzero(~counted)
                 place = np.arange(len(rest)) - np.searchsorted(owner[rest], np.arange(len(sizes)))[owner[rest]]   # rank by hash in its set
-                late = rest[place < (prefix - n_counted)[owner[rest]]]
-                pick = np.concatenate([np.flatnonzero(counted), late])
-                is_late = np.arange(len(pick)) >= len(pick) - len(late)
-                use = once[owner[pick]]
-                pick, is_late = pick[use], is_late[use]
-                for i in range(0, len(pick), 1 << 16):
-                    p = pick[i:i + (1 << 16)]
-                    yield pa.RecordBatch.from_arrays([pa.array(grams[p].view(np.int64)), pa.array(keys[owner[p]]), pa.array(is_late[i:i + (1 << 16)])],
-                                                     names=["token", "key", "late"])
-    return docs.select("text").mapInArrow(run, "token long, key long, late boolean")
+                late = rest[(place < (prefix - n_counted)[owner[rest]]) & is_large[owner[rest]]]
+                for pick, small, is_late in ((np.flatnonzero(is_small[owner]), True, False), (np.flatnonzero(counted & is_large[owner]), False, False), (late, False, True)):
+                    for i in range(0, len(pick), 1 << 16):
+                        p = pick[i:i + (1 << 16)]
+                        token = grams[p] * U(3) + U(1) if small else grams[p]      # the two orders have nothing in common
+                        yield pa.RecordBatch.from_arrays([pa.array(token.view(np.int64)), pa.array(keys[owner[p]]), pa.array(np.full(len(p), small)),
+                                                          pa.array(np.full(len(p), is_late))], names=["token", "key", "small", "late"])
+    return docs.select("text").mapInArrow(run, "token long, key long, small boolean, late boolean")
 
 
 class Tree:
@@ -237,7 +240,8 @@ def _joined(rows: DataFrame, percent: int) -> DataFrame:
         pdf = pdf.drop_duplicates("key")
         made = join_group(pdf["key"].to_numpy(), [np.frombuffer(g, U) for g in pdf["grams"]], pdf["left"].to_numpy(bool), pdf["right"].to_numpy(bool), percent)
         return pd.DataFrame(made, columns=["a", "b"], dtype="int64")
-    return rows.groupBy("group", "task").applyInPandas(run, "a long, b long")
+    # a group's tasks go to different places, also where the rows come dealt out by group
+    return rows.repartition(partitions(rows.sparkSession), "group", "task").groupBy("group", "task").applyInPandas(run, "a long, b long")
 
 
 def jaccard_components(docs: DataFrame, width: int = 4, percent: int = 85, task_grams: int = 1_000_000) -> DataFrame:
@@ -253,8 +257,10 @@ def jaccard_components(docs: DataFrame, width: int = 4, percent: int = 85, task_
 
     # n-grams that two classes have, and of those the ones in a class's prefix
     rows = _leading(plain.where("text IS NOT NULL"), width, percent).repartition("token")
-    known = rows.groupBy("token").agg(F.count(F.lit(1)).alias("times"), F.min("key").alias("k0"), F.max("key").alias("k1"))
-    shared = rows.join(known.where("k0 <> k1").select("token", "times"), "token").dropDuplicates(["token", "key"])
+    known = rows.groupBy("token").agg(F.count(F.lit(1)).alias("times"), F.min("key").alias("k0"), F.max("key").alias("k1"),
+                                      F.min("small").alias("f0"), F.min("late").alias("f1"))
+    # asking for the flags too lets the sum and the join read one shuffle
+    shared = rows.join(known.where("k0 <> k1 AND f0 IS NOT NULL AND f1 IS NOT NULL").select("token", "times"), "token").dropDuplicates(["token", "key"])
     prefixes = _prefixes(cut(shared), classes, percent)
 
     # candidate groups
@@ -263,10 +269,12 @@ def jaccard_components(docs: DataFrame, width: int = 4, percent: int = 85, task_
         .select(F.col("node").alias("key"), F.col("component").alias("group"))
 
     # their sets, from one text a class
-    wanted = groups.join(classes, "key").select("key", "group", "n", F.col("one.id").alias("_id"), F.col("one.text_hash").alias("text_hash"))
-    texts = plain.withColumn("_id", F.coalesce("doc_id", F.lit(NO_ID))).join(wanted, ["_id", "text_hash"]).select("key", "group", "text")
-    members = cut(_sets(texts, width).dropDuplicates(["key"]))
-    links = _grouped_links(members, percent, task_grams)
+    wanted = cut(groups.join(classes, "key").select("key", "group", "n", F.col("one.id").alias("_id"), F.col("one.text_hash").alias("text_hash")))
+    chunks_of = wanted.groupBy("group").agg(F.ceil(F.sum("n") / task_grams).alias("chunks"))
+    wanted = cut(wanted.join(chunks_of, "group").withColumn("chunk", F.pmod(F.xxhash64("key"), F.col("chunks"))))
+    texts = plain.withColumn("_id", F.coalesce("doc_id", F.lit(NO_ID))).join(wanted, ["_id", "text_hash"])
+    members = cut(_sets(texts.select("key", "group", "chunk", "chunks", "text"), width))
+    links = _grouped_links(members, wanted, percent, task_grams)
 
     parts = components(links).select(F.col("node").alias("key"), F.col("component").alias("whole"))
     named = classes.join(parts, "key", "left").select("key", "least", F.coalesce("whole", "key").alias("whole"))
@@ -278,16 +286,16 @@ def jaccard_components(docs: DataFrame, width: int = 4, percent: int = 85, task_
 
 def _prefixes(shared: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     """token, key of shared n-grams that stand in the class's prefix; those no other class has come before them."""
-    one_class = Window.partitionBy("key")                          # within one set
+    one_class = Window.partitionBy("key", "small")                 # within one set
     early = shared.where(~F.col("late")).withColumn("rank", F.row_number().over(one_class.orderBy("times", "token"))) \
         .withColumn("n_shared", F.count(F.lit(1)).over(one_class)).join(classes.select("key", "n", "counted"), "key")
     prefix = F.col("n") - F.ceil(F.lit(percent) * F.col("n") / 100) + 1
-    return early.where(F.col("counted") - F.col("n_shared") + F.col("rank") <= prefix).select("token", "key") \
+    return early.where(F.when(F.col("small"), F.col("n")).otherwise(F.col("counted")) - F.col("n_shared") + F.col("rank") <= prefix).select("token", "key") \
         .union(shared.where("late").select("token", "key"))
 
 
 def _sets(texts: DataFrame, width: int) -> DataFrame:
-    """key, group, n, grams (64-bit hashes, packed) of texts that have the key of their class."""
+    """key, group, chunk, chunks, grams (64-bit hashes, packed) of texts that have the key of their class."""
     def run(batches):
         hasher = RangeHash(17)
         for b in batches:
@@ -295,16 +303,14 @@ def _sets(texts: DataFrame, width: int) -> DataFrame:
                 owner, grams, sizes = shingle_sets(data, offsets, width, hasher)
                 ends, same = np.cumsum(sizes), set_keys(owner, grams, sizes) == b["key"].slice(row, len(sizes)).to_numpy()
                 packed = [grams[e - k:e].tobytes() for e, k in zip(ends.tolist(), sizes.tolist())]
-                out = pa.RecordBatch.from_arrays([b["key"].slice(row, len(sizes)), b["group"].slice(row, len(sizes)), pa.array(sizes), pa.array(packed, pa.binary())],
-                                                 names=["key", "group", "n", "grams"])
+                names = ["key", "group", "chunk", "chunks"]
+                out = pa.RecordBatch.from_arrays([*(b[c].slice(row, len(sizes)) for c in names), pa.array(packed, pa.binary())], names=[*names, "grams"])
                 yield out.filter(pa.array(same))
-    return texts.mapInArrow(run, "key long, group long, n long, grams binary")
+    return texts.mapInArrow(run, "key long, group long, chunk long, chunks long, grams binary")
 
 
-def _grouped_links(members: DataFrame, percent: int, task_grams: int) -> DataFrame:
-    """Links (a, b) that join all that is linked within each group of ``members``."""
-    chunks_of = members.groupBy("group").agg(F.ceil(F.sum("n") / task_grams).alias("chunks"))
-    rows = members.join(chunks_of, "group").withColumn("chunk", F.pmod(F.xxhash64("key"), F.col("chunks")))
+def _grouped_links(rows: DataFrame, wanted: DataFrame, percent: int, task_grams: int) -> DataFrame:
+    """Links (a, b) that join all that is linked within each group of ``rows``; ``wanted`` is the same without sets."""
     everywhere = F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)
     first = rows.withColumn("task", F.explode(F.when(F.col("chunk") == 0, everywhere).otherwise(F.array("chunk"))))
     flags = [(F.col("chunk") == F.col("task")).alias("left"), F.lit(True).alias("right")]
@@ -312,7 +318,7 @@ def _grouped_links(members: DataFrame, percent: int, task_grams: int) -> DataFra
 
     large = rows.where("chunks > 1")
     parts = components(links).withColumnRenamed("node", "key")
-    whole = large.select("group", "key", "chunk", "n").join(parts, "key", "left").withColumn("component", F.coalesce("component", "key"))
+    whole = wanted.where("chunks > 1").select("group", "key", "chunk", "n").join(parts, "key", "left").withColumn("component", F.coalesce("component", "key"))
     sizes = whole.groupBy("group", "component").agg(F.count(F.lit(1)).alias("size"))
     most = sizes.groupBy("group").agg(F.max(F.struct("size", "component")).alias("m")).select("group", F.col("m.component").alias("most"))
     rest = cut(whole.join(most, "group").where("component <> most").select("group", "key", "chunk", "n"))
