@@ -3,8 +3,9 @@
 Equal vectors are one class, with a count.  A class goes to the cell of its nearest centroid; near a border to
 lower neighbours as well, up to ``reach`` times what a link of the least cosine spans across a border when its
 direction is random (a link lies 1 / sqrt(dimension) of its length across, so 3 leaves few out; measured in
-the tests).  A cell is cut by hash into blocks of at most about ``block`` classes, and each pair of blocks is
-one task that multiplies two matrices of doubles; a pair of classes meets in one task.  A task returns a count
+the tests).  A cell's own classes and its guests are cut by hash into blocks of about ``block`` classes, and each pair of
+blocks, one of them at home, is one task that multiplies two matrices of doubles; a pair of classes meets in one
+task.  A task returns a count
 for each class and one link for each class to hold a component together, never its pairs.
 
 Nulls: vectors that are null, zero or hold null or non-finite components have no links and are kept, unless
@@ -93,10 +94,14 @@ def near_duplicates(rows: DataFrame, least: float = 0.9, cell_rows: int = 2000,
     k = int(min(most_cells, max(1, classes.count() // cell_rows)))
     centroids = k_means(unit, k, spherical=True) if len(unit) else np.zeros((0, dim))
     dealt = in_cells(classes.select("node", "dim", "values", "n"), dim, centroids, least, reach)
-    counts = dealt.groupBy("dim", "cell").agg(F.ceil(F.count(F.lit(1)) / block).alias("blocks"))
-    dealt = dealt.join(counts, ["dim", "cell"]).withColumn("i", F.pmod(F.xxhash64("node"), F.col("blocks")))
-    # block pair (i, j), i <= j: side 0 is i, side 1 is j, side 2 is both
-    paired = dealt.withColumn("o", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).select(
+    blocks = lambda rows: F.ceil(F.count(F.when(rows, True)) / block)
+    counts = dealt.groupBy("dim", "cell").agg(blocks(F.col("home")).alias("own"), blocks(~F.col("home")).alias("guests")).where("own > 0")
+    hashed = F.xxhash64("node")
+    dealt = dealt.join(counts, ["dim", "cell"]).withColumn("i", F.when(F.col("home"), F.pmod(hashed, F.col("own"))).otherwise(
+        F.col("own") + F.pmod(hashed, F.greatest("guests", F.lit(1)))))
+    # Block pair (i, j), i <= j: side 0 is i, side 1 is j, side 2 is both.  Blocks of guests meet those at home only.
+    others = F.when(F.col("home"), F.col("own") + F.col("guests")).otherwise(F.col("own"))
+    paired = dealt.withColumn("o", F.explode(F.sequence(F.lit(0).cast("long"), others - 1))).select(
         "dim", "cell", F.least("i", "o").alias("bi"), F.greatest("i", "o").alias("bj"),
         F.when(F.col("i") == F.col("o"), 2).when(F.col("i") < F.col("o"), 0).otherwise(1).alias("side"), "node", "values", "n", "home")
     found = cut(paired.groupBy("dim", "cell", "bi", "bj").applyInPandas(lambda p: compare(p, least), "node long, links long, other long"))
