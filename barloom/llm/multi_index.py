@@ -59,19 +59,22 @@ def best_of(pdf: pd.DataFrame, dim: int, k: int) -> pd.DataFrame:
     if not len(entries) or not len(queries):
         return pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype({"query_id": "int64", "vec_id": "int64"})
     e = matrix(entries["values"].tolist(), dim)
+    longest = np.linalg.norm(e, axis=1).max()
     e_id, e_cell = entries["vec_id"].to_numpy(np.int64), entries["cell"].to_numpy(np.int64)
     out = []
     for at in range(0, len(queries), 128):
         part = queries.iloc[at:at + 128]
-        scores = products(matrix(part["values"].tolist(), dim), e)
-        for row, q, flags in zip(scores, part["vec_id"].tolist(), part["cells"].tolist()):
+        asked = matrix(part["values"].tolist(), dim)
+        slack = 1e-12 * np.linalg.norm(asked, axis=1) * longest      # more than a matrix product's rounding
+        for v, row, near, q, flags in zip(asked, asked @ e.T, slack, part["vec_id"].tolist(), part["cells"].tolist()):
             open_ = np.unpackbits(np.frombuffer(flags, np.uint8))[e_cell].astype(bool) & (e_id != q)
             i = np.flatnonzero(open_)
             if len(i) > k:
-                i = i[row[i] >= np.partition(row[i], len(i) - k)[len(i) - k]]
-            i = i[np.lexsort((e_id[i], -row[i]))[:k]]
-            out.append(pd.DataFrame({"query_id": q, "vec_id": e_id[i], "score": row[i]}))
-    return pd.concat(out, ignore_index=True)
+                i = i[row[i] >= np.partition(row[i], len(i) - k)[len(i) - k] - near]
+            score = products(v[None], e[i])[0]
+            best = np.lexsort((e_id[i], -score))[:k]
+            out.append((np.full(len(best), q), e_id[i][best], score[best]))
+    return pd.DataFrame({n: np.concatenate(c) for n, c in zip(("query_id", "vec_id", "score"), zip(*out))})
 
 
 def search(rows: DataFrame, is_query, k: int = 20, codes: int = 64, share: float = 0.5, block: int = 4096, chunk: int = 512) -> DataFrame:
