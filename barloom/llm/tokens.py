@@ -4,6 +4,8 @@ The vocabulary's own pattern never joins a blank or line feed that a solid chara
 what stands before it, nor a line feed to that character, nor a letter to a stop behind it, so a
 text is cut there and the pieces are encoded alone.  Pieces recur; ids of those met before are
 looked up by hash, and the bytes are compared, so a hash that two pieces share changes nothing.
+
+An added token such as <|endoftext|> may hold such a place, so a text with one is encoded whole.
 """
 
 from __future__ import annotations
@@ -27,13 +29,18 @@ LETTER = np.array([chr(i).isascii() and chr(i).isalpha() for i in range(256)])
 
 
 class Encoder:
-    """Ids of many texts at a time.  ``limit``: pieces that the memory holds before it starts anew."""
+    """Ids of many texts at a time.  ``limit``: pieces that the memory holds before it starts anew.
+
+    ``added``: an added token's content in a text is that token, as the library has it unless told otherwise;
+    else it is text like any other.
+    """
 
-    def __init__(self, path: str, limit: int = 2_000_000):
+    def __init__(self, path: str, limit: int = 2_000_000, added: bool = False):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = not added
+        self.added = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()] if added else []
         self.limit = limit
         self.hasher = RangeHash(11)
         self._forget()
@@ -74,8 +81,28 @@ class Encoder:
         self.ids = np.concatenate([self.ids, ids])
         self.keys, self.slot = np.insert(self.keys, place, keys), np.insert(self.slot, place, slot)
 
+    def _holders(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        """The texts that hold an added token."""
+        raw = data.tobytes() if self.added else b""
+        found = [m.start() for token in self.added for m in re.finditer(b"(?=" + re.escape(token) + b")", raw)]
+        return np.unique(np.searchsorted(offsets, found, "right") - 1) if found else np.zeros(0, np.int64)
+
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts one after another, n + 1 borders in them)."""
+        holders = self._holders(data, offsets)
+        if not len(holders):
+            return self._by_pieces(data, offsets)
+        size, alone = np.diff(offsets), np.ones(len(offsets) - 1, bool)
+        alone[holders] = False
+        ids, ends = self._flat([data[offsets[i]:offsets[i + 1]].tobytes() for i in holders])
+        others, borders = self._by_pieces(data[np.repeat(alone, size)], np.concatenate([[0], np.cumsum(size[alone])]))
+        n_ids = np.zeros(len(size), np.int64)
+        n_ids[holders], n_ids[alone] = np.diff(ends, prepend=0), np.diff(borders)
+        merged, mine = np.zeros(n_ids.sum(), np.uint32), np.repeat(alone, n_ids)
+        merged[mine], merged[~mine] = others, ids
+        return merged, np.concatenate([[0], np.cumsum(n_ids)])
+
+    def _by_pieces(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         if not len(data):
             return np.zeros(0, np.uint32), np.zeros(len(offsets), np.int64)
         cut = np.zeros(len(data), bool)
@@ -125,5 +152,5 @@ def encoder(path: str) -> Encoder:
     home = sys.modules.setdefault("barloom_token_memory", types.ModuleType("barloom_token_memory"))
     known = vars(home).setdefault("encoders", {})
     if path not in known:
-        known[path] = Encoder(path)
+        known[path] = Encoder(path, added=True)
     return known[path]

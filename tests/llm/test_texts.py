@@ -251,6 +251,36 @@ def test_packing(messy, nothing, plain_encoder):
     assert pack_documents(nothing, vocabulary()).count() == 0
 
 
+def test_added_tokens(spark):
+    """An added token's content in a text gives what the library gives for the whole text, alone and in op3 and op10."""
+    import random
+
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    from barloom.llm.packing import pack_documents
+    from barloom.llm.queries import vocabulary
+    from barloom.llm.shared import new_folder
+    from barloom.llm.token_files import read_documents, token_files
+    from barloom.llm.tokens import encoder
+    tokenizer = Tokenizer.from_file(vocabulary())
+    plain = lambda t: tokenizer.encode(t or "", add_special_tokens=False).ids
+    assert plain("x <|endoftext|> y") == [87, 220, 50256, 331]
+    rng, parts = random.Random(2), ["a", "B", " ", "  ", "\n", "é", "'s", "12", "<|endoftext|>", "<|", "endoftext", "|>", "日本", ".", "#x"]
+    texts = ["".join(rng.choices(parts, k=rng.randint(0, 12))) for _ in range(2000)] + ["x <|endoftext|> y", "<|endoftext|>", "", None, "<|endoftext", "|>"]
+    for row, ids, borders in encoder(vocabulary()).encode_column(pa.array(texts), 4000):
+        for i in range(len(borders) - 1):
+            assert ids[borders[i]:borders[i + 1]].tolist() == plain(texts[row + i]), repr(texts[row + i])
+    rows = list(enumerate(["before", "x <|endoftext|> y", "behind", "<|endoftext|><|endoftext|> z"]))
+    docs, want = spark.createDataFrame(rows, "doc_id long, text string"), {d: plain(t) for d, t in rows}
+    files = token_files(docs, new_folder(spark, "t"), vocabulary(), length=64, batch=4)
+    got = [tuple(r) for r in read_documents(files).orderBy("start").collect()]
+    assert [(d, n, c) for d, _, n, c in got] == [(d, len(i) + 1, crc(i + [2])) for d, i in want.items()]
+    assert [s for _, s, _, _ in got] == [0, *np.cumsum([n for _, _, n, _ in got])[:-1]]
+    packed = {r.doc_id: (r.length, r.ids_crc32) for r in pack_documents(docs, vocabulary(), capacity=256).collect()}
+    assert packed == {d: (len(i) + 1, crc(i + [0])) for d, i in want.items()}
+
+
 def test_reduction_is_optimal():
     import random
 
