@@ -5,6 +5,10 @@ A sentence ends at a stop, an exclamation or question mark, a line feed, or afte
 sentence is several.  Sentences are compared without the white space around them.  The first of equal runs is
 that of the smallest doc_id, then the smallest place.  What stays is joined as it stood.
 
+Pieces of a sentence of over ``words`` words are counted from its start, so a passage inside such sentences meets its
+equal only at the same offset, and text without stops and blanks is one piece a line.  ``loose`` finds these passages
+too (see loose_spans) and removes them, in part of a sentence if need be.  The SQL does not have it.
+
 Nulls: a null text is empty; a null doc_id comes last.  A text with fewer sentences than ``span`` has no run and
 stays.  Rows that share doc_id are ordered by a hash of their texts, rows that share both count as one document
 and each gets its result.  Other columns are not read.
@@ -14,10 +18,12 @@ from __future__ import annotations
 
 import hashlib
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .loose_spans import loose_repeats
 from .suffix_family import NO_ID, keyed
 
 WHITE = r"[ \t\n\r\f\x0B]"
@@ -46,19 +52,30 @@ def repeated(docs: DataFrame, span: int = 3, words: int = 12) -> DataFrame:
     return every.join(first, ["x", "y"]).where(F.struct("doc", "tie", "i") > F.col("first")).select("doc", "tie", "i")
 
 
-def without_repeats(docs: DataFrame, span: int = 3, words: int = 12) -> DataFrame:
-    """doc_id, n_sentences, n_removed, kept_sha256, kept of every row of ``docs`` (doc_id, text)."""
+def without_repeats(docs: DataFrame, span: int = 3, words: int = 12, loose: bool = False) -> DataFrame:
+    """doc_id, n_sentences, n_removed, kept_sha256, kept of every row of ``docs`` (doc_id, text).
+
+    With ``loose``, n_removed counts sentences that lose anything.
+    """
     plain = keyed(docs)
-    gone = repeated(plain, span, words).groupBy("doc", "tie").agg(F.array_sort(F.collect_set("i")).alias("runs"))    # within one text
+    found = repeated(plain, span, words)
+    if loose:
+        found = found.select("doc", "tie", "i", F.lit(None).cast("int").alias("end")).unionByName(
+            loose_repeats(plain, span, words).withColumnRenamed("start", "i"))
+    gone = found.groupBy("doc", "tie").agg(                                                         # within one text
+        F.array_sort(F.collect_set(F.when(F.col("end").isNull(), F.col("i")) if loose else F.col("i"))).alias("runs"),
+        *([F.collect_set(F.when(F.col("end").isNotNull(), F.struct("i", "end"))).alias("loose")] if loose else []))
 
     def finish(batches):
         for b in batches:
             for at in range(0, len(b), 256):
                 rows = []
                 part = b.slice(at, 256)
-                for doc, text, lengths, starts in zip(*(part.column(c).to_pylist() for c in ("doc", "text", "lengths", "runs"))):
+                for doc, text, lengths, starts, *more in zip(*(part.column(c).to_pylist() for c in columns)):
                     kept, removed = text, 0
-                    if starts:
+                    if more and more[0]:
+                        kept, removed = without(text, lengths, {i + k for i in starts for k in range(span)}, more[0])
+                    elif starts:
                         drop = {i + k for i in starts for k in range(span)}
                         pieces, place = [], 0
                         for i, n in enumerate(lengths):
@@ -69,13 +86,29 @@ def without_repeats(docs: DataFrame, span: int = 3, words: int = 12) -> DataFram
                     rows.append((None if doc == NO_ID else doc, len(lengths), removed, hashlib.sha256(kept.encode()).hexdigest(), kept))
                 yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(zip(*rows), types)], names=names)
 
+    columns = ["doc", "text", "lengths", "runs", *(["loose"] if loose else [])]
     types = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string()]
     names = ["doc_id", "n_sentences", "n_removed", "kept_sha256", "kept"]
     lengths = F.transform(F.regexp_extract_all("text", F.lit(sentence_pattern(words)), F.lit(0)), lambda t: F.length(t))
-    return plain.join(gone, ["doc", "tie"], "left").select("doc", "text", lengths.alias("lengths"), "runs").mapInArrow(
+    return plain.join(gone, ["doc", "tie"], "left").withColumn("lengths", lengths).select(*columns).mapInArrow(
         finish, "doc_id long, n_sentences long, n_removed long, kept_sha256 string, kept string")
 
 
+def without(text: str, lengths: list[int], drop: set[int], ranges: list[dict]) -> tuple[str, int]:
+    """(text without the sentences ``drop`` and the byte ranges, number of sentences that lose anything)."""
+    stay = np.ones(len(text.encode()), bool)
+    for r in ranges:
+        stay[r["i"]:r["end"]] = False
+    raw = np.frombuffer(text.encode(), np.uint8)
+    stay = stay[(raw & 0xC0) != 0x80]                      # by character
+    place = np.concatenate([[0], np.cumsum(lengths)])
+    for i in drop:
+        stay[place[i]:place[i + 1]] = False
+    lost = np.concatenate([[0], np.cumsum(~stay)])[place]
+    border = np.flatnonzero(np.diff(np.concatenate([[False], stay, [False]]).astype(np.int8)))
+    return "".join(text[a:b] for a, b in zip(border[::2].tolist(), border[1::2].tolist())), int((np.diff(lost) > 0).sum())
+
+
 def spans_sql(span: int = 3, words: int = 12) -> str:
     """The same over ``documents`` in SQL, for texts that begin with a sentence and doc_ids that do not repeat."""
     pattern = sentence_pattern(words).replace("'", "''")

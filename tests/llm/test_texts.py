@@ -183,6 +183,51 @@ def test_sentence_spans(spark, messy, nothing):
     assert without_repeats(nothing).count() == 0
 
 
+@pytest.mark.parametrize("unit,blank,n", [("word", " ", 60), ("han", "", 94)])
+def test_loose_spans_at_every_offset(spark, unit, blank, n):
+    """A passage without stops behind 5 words and behind 5 + k words; the first stays, most of the second goes."""
+    import random
+
+    from barloom.llm.sentence_spans import without_repeats
+    rng = random.Random(4)
+    some = lambda k: [chr(rng.randrange(0x4E00, 0x9F00)) if unit == "han" else f"w{rng.getrandbits(40):x}" for _ in range(k)]
+    rows = []
+    for k in range(24):
+        passage = some(n)
+        rows += [(2 * k, blank.join(some(5) + passage + some(20))), (2 * k + 1, blank.join(some(5 + k) + passage + some(20)))]
+    got = {r.doc_id: r for r in without_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(5), loose=True).collect()}
+    parts = lambda t: t.split() if blank else list(t)
+    for k in range(24):
+        (_, one), (_, two) = rows[2 * k:2 * k + 2]
+        first, second = got[2 * k], got[2 * k + 1]
+        assert first.kept == one and first.n_removed == 0 and second.n_removed > 0
+        whole, kept = parts(two), parts(second.kept)
+        size = len(whole) - len(kept)
+        at = next(i for i, (a, b) in enumerate(zip(kept, whole)) if a != b)
+        assert kept == whole[:at] + whole[at + size:] and blank.join(whole[at:at + size]) in one, k
+        assert size >= (36 if blank else 72), k
+
+
+def test_loose_spans_depend_on_text_alone(spark, messy, nothing):
+    import pyarrow as pa
+
+    from barloom.llm.bytetext import RangeHash, chunks
+    from barloom.llm.loose_spans import stretches
+    from barloom.llm.sentence_spans import without_repeats
+    texts = [r.text for r in messy.select("text").collect()] + ["a b " * 50, "。".join("日本語の文章です" * 9 for _ in range(9)), "x", " "]
+    hashes, made = (RangeHash(1), RangeHash(2)), []
+    for size in (1 << 20, 1):
+        rows = []
+        for row, data, offsets in chunks(pa.array(texts), size):
+            t, *rest = stretches(data, offsets, 3, 12, hashes)
+            rows += list(zip((t + row).tolist(), *(c.tolist() for c in rest)))
+        made.append(rows)
+    assert made[0] == made[1] and len(made[0]) > 20
+    plain, loose = ({(r.doc_id, r.n_sentences): len(r.kept) for r in without_repeats(messy, loose=x).where("doc_id NOT IN (3, 7)").collect()} for x in (False, True))
+    assert plain.keys() == loose.keys() and all(loose[k] <= plain[k] for k in plain)
+    assert without_repeats(nothing, loose=True).count() == 0
+
+
 # tokens -------------------------------------------------------------------------------------------------------
 @pytest.fixture(scope="module")
 def plain_encoder():
