@@ -37,7 +37,7 @@ HEX = re.compile(r"[0-9a-f]{24,}")              # a run of these characters is o
 ASSIGN_VALUE, ACCESS_LENGTH = 6, 20
 #: Weak kinds.
 IDENTIFIER = re.compile(r"""(?:access_?key(?:_?id)?|client_?id|user(?:_?name)?|login|account(?:_?id)?)["']?\x20*[:=]\x20*["']?([A-Za-z0-9@+/_.=-]{3,})""", re.I | re.A)
-CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{20,88}={0,2}(?![A-Za-z0-9+/_=-])", re.A)
+CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{20,}={0,2}(?![A-Za-z0-9+/_=-])", re.A)
 ENDPOINT = re.compile(r"""[a-z][a-z0-9+.-]{1,20}://[^\s"'<>]{3,}|(?:endpoint|host(?:_?name)?|server)["']?\x20*[:=]\x20*["']?([A-Za-z0-9_.:/-]{4,})""", re.I | re.A)
 SCOPE = re.compile(r"\n[ \t]*\n")
 

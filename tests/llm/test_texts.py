@@ -61,6 +61,16 @@ def test_secrets_linked(spark, nothing):
     assert secrets(nothing).count() == 0 and redacted(nothing).columns == nothing.columns
 
 
+def test_long_secrets_are_linked(spark):
+    from barloom.llm.secrets import redacted, secrets
+    long = {n: ("aB3dE5fG7hJ9kLmN2pQ4rS" * 12)[:n] for n in (88, 89, 90, 200)}
+    docs = spark.createDataFrame([(n, f"login: alice pwd follows {s}== end") for n, s in long.items()] + [(0, long[200])], "doc_id int, text string")
+    kinds = {r.doc_id: [s.kind for s in r.found] for r in secrets(docs).collect()}
+    assert kinds == {n: ["identifier", "candidate"] for n in long} | {0: []}
+    after = {r.doc_id: r.text for r in redacted(docs).collect()}
+    assert all(after[n] == "<secret> pwd follows <secret> end" for n in long) and after[0] == long[200]
+
+
 # suffix family ------------------------------------------------------------------------------------------------
 def removed_by_hand(rows, length):
     """rows in order -> (n_bytes, n_removed, n_spans, sha256) of each."""
