@@ -154,10 +154,11 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = 8000, bits: int = 16
                     pa.ListArray.from_arrays(pa.array(np.arange(0, stats.size + 1, stats.shape[1], dtype=np.int32)), pa.array(stats.ravel()))],
                     names=["y", "places", "values", "stats"])
 
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id") \
-        .select(F.col("_y").cast("int").alias("_y"), "text") \
+    one = F.min(F.struct(F.xxhash64("text").alias("h"), "text"))        # of rows that share a doc_id
+    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "_y").agg(one.alias("one")) \
+        .select(F.col("_y").cast("int").alias("_y"), "one.text") \
         .mapInArrow(gather, "y int, places array<int>, values array<float>, stats array<double>").toArrow()   # at most ``sample`` rows
-    rows = sorted(zip(*(rows.column(c).to_pylist() for c in rows.column_names)), key=lambda r: (r[3], r[0]))[:sample]
+    rows = sorted(zip(*(rows.column(c).to_pylist() for c in rows.column_names)), key=lambda r: (r[3], r[0]))
     return fit(rows, bits, rank)
 
 
