@@ -79,11 +79,11 @@ class RangeHash:
         return mix((self.sums[width:] - self.sums[:n]) * self.down[:n]) if n > 0 else np.zeros(0, U)
 
 
-def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(start, end, text) of the runs of bytes that are no white space; no word crosses texts."""
+def words(data: np.ndarray, offsets: np.ndarray, space: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(start, end, text) of the runs of bytes that are no ``space``; no word crosses texts."""
     if not len(data):
         return (np.zeros(0, np.int64),) * 3
-    solid = ~SPACE[data]
+    solid = ~space[data]
     first = solid.copy()
     first[1:] &= ~solid[:-1]
     borders = offsets[1:-1][offsets[1:-1] < len(data)]

@@ -97,9 +97,38 @@ def op8_sentence_spans(spark: SparkSession, folder: str) -> DataFrame:
     return without_repeats(table(spark, folder, "documents"))
 
 
+@llm_query
+def op11_licenses(spark: SparkSession, folder: str) -> DataFrame:
+    """Licence phrases and notices of every document."""
+    from .licenses import licenses
+    return licenses(table(spark, folder, "documents")).drop("found")
+
+
+@llm_query
+def op12_repair(spark: SparkSession, folder: str) -> DataFrame:
+    """Damaged conversations with their faults and their cheapest repair."""
+    from .repair import repair
+    return repair(table(spark, folder, "conversations"))
+
+
+@llm_query
+def op13_prefix_trie(spark: SparkSession, folder: str) -> DataFrame:
+    """Nodes of the prefix trie of all rebuilt conversations."""
+    from .prefixes import prefix_trie
+    return prefix_trie(table(spark, folder, "conversations"))
+
+
 def _op8_sql() -> str:
     from .sentence_spans import spans_sql
     return spans_sql()
 
 
 ORACLES["op8_sentence_spans"] = _op8_sql()
+
+
+def _conversation_sql() -> dict[str, str]:
+    from .conversation_sql import prefixes_sql, repair_sql
+    return {"op12_repair": repair_sql(), "op13_prefix_trie": prefixes_sql()}
+
+
+ORACLES.update(_conversation_sql())
