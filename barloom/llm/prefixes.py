@@ -160,7 +160,9 @@ def prefix_trie(conversations: DataFrame) -> DataFrame:
     parents = nodes.select(F.col("k1").alias("p1"), F.col("k2").alias("p2"), F.col("conv_id").alias("parent_conv_id"))
     # a node that isn't the first its conversation owns has its parent there too: only first ones ask
     nodes = nodes.join(own, "conv_id")
-    asked = nodes.where("depth = from and p1 is not null").select("k1", "k2", "p1", "p2").join(parents, ["p1", "p2"]).select("k1", "k2", "parent_conv_id")
+    asked = nodes.where("depth = from and p1 is not null").select("k1", "k2", "p1", "p2", (F.col("k1") % 64).alias("salt"))
+    # a parent that very many ask is fetched once for each salt, and its askers meet in as many tasks
+    asked = asked.join(asked.select("p1", "p2", "salt").distinct().join(parents, ["p1", "p2"]), ["p1", "p2", "salt"]).select("k1", "k2", "parent_conv_id")
     out = nodes.join(once, ["k1", "k2"], "left").join(children, ["k1", "k2"], "left").join(asked, ["k1", "k2"], "left") \
         .join(end_hashes(ends.select("k1", "k2", "conv_id")), ["k1", "k2"], "left")
     return out.select(
