@@ -7,8 +7,8 @@ few ranges each, so that the machine can weigh a range by itself.  A score is li
 their pairwise products through vectors of ``rank`` numbers, computed in linear time:
 sum over f of ((sum v_if x_i)**2 - sum (v_if x_i)**2) / 2.  Labels, lang, source and doc_id are no features.
 
-The machine is fitted on at most ``sample`` labelled rows (a bound; those of the smallest hash of doc_id),
-whose features, not texts, go to the driver.  Scoring is one pass over whole texts.
+The machine is fitted on at most ``sample`` labelled rows of at most ``most`` features (bounds; those of the smallest
+hash of doc_id), whose features, not texts, go to the driver.  Scoring is one pass over whole texts.
 
 Nulls: a null text is empty and scored like one; a null doc_id is scored and not held out; labels of null
 quality or null doc_id are not used, of labels that share a doc_id the smallest counts.  Equal rows each get a
@@ -23,7 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bytetext import RangeHash, chunks, lower, words
+from .bytetext import RangeHash, chunks, lower, ragged, words
+from .shared import cut
 
 STATS = ("size", "words", "lines", "word length", "line length", "capitals", "small", "digits", "beyond ascii", "stops", "marks",
          "signs", "bars", "white", "different words", "same as before", "capital words", "signed words", "commonest")
@@ -92,10 +93,10 @@ def raw_scores(doc, place, value, n: int, bias: float, linear: np.ndarray, vecto
     return z, sums
 
 
-def fit(rows: list, bits: int, rank: int, ranges: int = 8, epochs: int = 12, rate: float = 0.1, weight: float = 1e-5, seed: int = 1) -> dict:
-    """Fit by stochastic gradients (a step size a parameter) on rows of (label, places, values, statistics)."""
-    y = np.array([r[0] for r in rows], float)
-    stats = np.array([r[3] for r in rows], float).reshape(len(rows), len(STATS))
+def fit(y: np.ndarray, at: np.ndarray, places: np.ndarray, values: np.ndarray, stats: np.ndarray, bits: int, rank: int, ranges: int = 8,
+        epochs: int = 12, rate: float = 0.1, weight: float = 1e-5, seed: int = 1) -> dict:
+    """Fit by stochastic gradients (a step size a parameter).  Row i has label y[i], words at[i] to at[i + 1] and stats[i]."""
+    y = y.astype(float)
     model = {"bits": bits, "edges": np.zeros((len(STATS), ranges - 1)), "bias": float(np.log((y.mean() + 1e-9) / (1 - y.mean() + 1e-9))) if len(y) else 20.0}
     size = (1 << bits) + len(STATS) * (1 + ranges)
     model |= {"linear": np.zeros(size), "vectors": np.zeros((size, rank))}
@@ -105,19 +106,13 @@ def fit(rows: list, bits: int, rank: int, ranges: int = 8, epochs: int = 12, rat
     rng = np.random.default_rng(seed)
     bias, linear, vectors = model["bias"], model["linear"], rng.normal(0, 0.02, (size, rank))
     seen_b, seen_l, seen_v = 1.0, np.ones(size), np.ones((size, rank))
-    sizes = np.array([len(r[1]) for r in rows])
-    doc, place, value = inputs((np.repeat(np.arange(len(rows)), sizes), np.concatenate([np.asarray(r[1], np.int64) for r in rows]),
-                                np.concatenate([np.asarray(r[2], float) for r in rows])), stats, model["edges"], bits)
-    order = np.argsort(doc, kind="stable")
-    doc, place, value = doc[order], place[order], value[order]
-    at = np.searchsorted(doc, np.arange(len(rows) + 1))
     for _ in range(epochs):
-        mixed = rng.permutation(len(rows))
+        mixed = rng.permutation(len(y))
         for i in range(0, len(mixed), 128):
             batch = mixed[i:i + 128]
-            pick = np.concatenate([np.arange(at[b], at[b + 1]) for b in batch])
-            d = np.repeat(np.arange(len(batch)), at[batch + 1] - at[batch])
-            p, x = place[pick], value[pick]
+            length = at[batch + 1] - at[batch]
+            pick = ragged(at[batch], length)
+            d, p, x = inputs((np.repeat(np.arange(len(batch)), length), places[pick], values[pick]), stats[batch], model["edges"], bits)
             z, sums = raw_scores(d, p, x, len(batch), bias, linear, vectors)
             slope = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y[batch]) / len(batch)
             here, which = np.unique(p, return_inverse=True)
@@ -137,8 +132,11 @@ def held_out(doc_id):
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def train(docs: DataFrame, labels: DataFrame, sample: int = 8000, bits: int = 16, rank: int = 8) -> dict:
-    """The machine, from at most ``sample`` rows of ``labels`` (doc_id, quality) that are not held out."""
+def train(docs: DataFrame, labels: DataFrame, sample: int = 8000, bits: int = 16, rank: int = 8, most: int = 8_000_000) -> dict:
+    """The machine, from at most ``sample`` rows of ``labels`` (doc_id, quality) that are not held out.
+
+    Of those, in order of their hash, as many as hold ``most`` features together: 8 bytes each are what the driver holds.
+    """
     chosen = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").where(~held_out(F.col("doc_id"))) \
         .groupBy("doc_id").agg(F.min("quality").alias("_y")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
 
@@ -147,46 +145,60 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = 8000, bits: int = 16
         for b in batches:
             for row, data, offsets in chunks(b["text"]):
                 (doc, place, value), stats = features(data, offsets, bits, hasher, tables)
-                cut = np.searchsorted(doc, np.arange(len(offsets))).astype(np.int32)
+                cuts = np.searchsorted(doc, np.arange(len(offsets))).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([
-                    b["_y"].slice(row, len(stats)), pa.ListArray.from_arrays(pa.array(cut), pa.array(place.astype(np.int32))),
-                    pa.ListArray.from_arrays(pa.array(cut), pa.array(value.astype(np.float32))),
+                    b["doc_id"].slice(row, len(stats)), b["_y"].slice(row, len(stats)), pa.ListArray.from_arrays(pa.array(cuts), pa.array(place.astype(np.int32))),
+                    pa.ListArray.from_arrays(pa.array(cuts), pa.array(value.astype(np.float32))),
                     pa.ListArray.from_arrays(pa.array(np.arange(0, stats.size + 1, stats.shape[1], dtype=np.int32)), pa.array(stats.ravel()))],
-                    names=["y", "places", "values", "stats"])
+                    names=["doc_id", "y", "places", "values", "stats"])
 
     one = F.min(F.struct(F.xxhash64("text").alias("h"), "text"))        # of rows that share a doc_id
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "_y").agg(one.alias("one")) \
-        .select(F.col("_y").cast("int").alias("_y"), "one.text") \
-        .mapInArrow(gather, "y int, places array<int>, values array<float>, stats array<double>").toArrow()   # at most ``sample`` rows
-    rows = sorted(zip(*(rows.column(c).to_pylist() for c in rows.column_names)), key=lambda r: (r[3], r[0]))
-    return fit(rows, bits, rank)
-
-
-def scored(docs: DataFrame, model: dict, threshold: float = 0.3) -> DataFrame:
-    """``docs`` (doc_id, text) with held_out, score, predicted, and all other columns."""
-    def score(batches):
+    rows = cut(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "_y").agg(one.alias("one"))
+               .select("doc_id", F.col("_y").cast("int").alias("_y"), "one.text")
+               .mapInArrow(gather, "doc_id long, y int, places array<int>, values array<float>, stats array<double>"))
+    sizes = sorted((h, d, n) for h, d, n in rows.select(F.xxhash64("doc_id"), "doc_id", F.size("places")).collect())      # at most ``sample`` rows
+    held = np.cumsum([n for *_, n in sizes]) <= most
+    place_of = {d: i for i, (_, d, _) in enumerate(sizes[:int(held.sum())])}
+    if not held.all():
+        h, d, _ = sizes[max(len(place_of) - 1, 0)]
+        here = F.xxhash64("doc_id")
+        rows = rows.where(((here < h) | (here == h) & (F.col("doc_id") <= d)) if place_of else F.lit(False))
+    table = rows.toArrow()
+    order = np.argsort([place_of[d] for d in table.column("doc_id").to_pylist()])
+    places, values = table.column("places").combine_chunks(), table.column("values").combine_chunks()
+    y, stats = table.column("y").to_numpy()[order], table.column("stats").combine_chunks().flatten().to_numpy().reshape(-1, len(STATS))[order]
+    borders = np.concatenate([[0], np.cumsum(places.value_lengths().to_numpy())])
+    words_, weights = places.flatten().to_numpy(), values.flatten().to_numpy()
+    length = np.diff(borders)[order]
+    move = ragged(borders[:-1][order], length)
+    words_, weights = words_[move], weights[move]
+    del table, places, values, move
+    return fit(y, np.concatenate([[0], np.cumsum(length)]), words_, weights, stats, bits, rank)
+
+
+def scorer(model: dict):
+    """A column function: score of a text.  Texts go to Python, only scores come back."""
+    @F.arrow_udf("double")
+    def score(texts: pa.Array) -> pa.Array:
         hasher, tables = RangeHash(3), class_tables()
-        for b in batches:
-            for row, data, offsets in chunks(b["text"]):
-                n = len(offsets) - 1
-                z, _ = raw_scores(*inputs(*features(data, offsets, model["bits"], hasher, tables), model["edges"], model["bits"]),
-                                  n, model["bias"], model["linear"], model["vectors"])
-                yield pa.RecordBatch.from_arrays([*(c.slice(row, n) for c in b.columns), pa.array(1 / (1 + np.exp(-np.clip(z, -500, 500))))],
-                                                 names=[*b.schema.names, "_score"])
+        out = np.zeros(len(texts))
+        for row, data, offsets in chunks(texts):
+            n = len(offsets) - 1
+            z, _ = raw_scores(*inputs(*features(data, offsets, model["bits"], hasher, tables), model["edges"], model["bits"]),
+                              n, model["bias"], model["linear"], model["vectors"])
+            out[row:row + n] = 1 / (1 + np.exp(-np.clip(z, -500, 500)))
+        return pa.array(out)
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return docs.mapInArrow(score, f"{schema}, _score double")
+    return score
 
 
 def quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, sample: int = 8000) -> DataFrame:
     """doc_id, held_out, score, predicted of every document."""
-    return scored(docs.select("doc_id", "text"), train(docs, labels, sample)).select(
-        "doc_id", held_out(F.col("doc_id")).alias("held_out"), F.col("_score").alias("score"), (F.col("_score") >= threshold).cast("int").alias("predicted"))
+    score = scorer(train(docs, labels, sample))
+    return docs.select("doc_id", score("text").alias("score")).select(
+        "doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
 def accepted(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, sample: int = 8000) -> DataFrame:
     """The rows of ``docs``, with all their columns, that score ``threshold`` or more."""
-    names = [f"_c{i}" for i in range(len(docs.columns))]                # columns may have any names
-    plain = docs.toDF(*names).withColumn("text", F.col(names[docs.columns.index("text")]))
-    rows = scored(plain, train(docs, labels, sample)).where(F.col("_score") >= threshold)
-    return rows.select(*[F.col(n).alias(c) for n, c in zip(names, docs.columns)])
+    return docs.where(scorer(train(docs, labels, sample))("text") >= threshold)
