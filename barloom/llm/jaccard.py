@@ -249,6 +249,13 @@ def jaccard_components(docs: DataFrame, width: int = 4, percent: int = 85, task_
 
     Two texts link when 100 * intersection >= percent * union of their sets of ``width``-word n-grams.
     """
+    keyed, named = _named(docs, width, percent, task_grams)
+    return keyed.where("n > 0").join(named, "key").select("doc_id", F.col("n").alias("n_shingles"), "component_id") \
+        .union(keyed.where("n = 0").select("doc_id", "n", "doc_id"))
+
+
+def _named(docs: DataFrame, width: int, percent: int, task_grams: int) -> tuple[DataFrame, DataFrame]:
+    """(a row a document: doc_id, text_hash, key, n; a row a set: key, whole (one number a component), component_id)."""
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text")
     keyed = cut(_keyed(plain, width))
     filled = keyed.where("n > 0")
@@ -279,9 +286,7 @@ def jaccard_components(docs: DataFrame, width: int = 4, percent: int = 85, task_
     parts = components(links).select(F.col("node").alias("key"), F.col("component").alias("whole"))
     named = classes.join(parts, "key", "left").select("key", "least", F.coalesce("whole", "key").alias("whole"))
     names = named.groupBy("whole").agg(F.min("least").alias("component_id"))
-    named = named.join(names, "whole").select("key", "component_id")
-    return filled.join(named, "key").select("doc_id", F.col("n").alias("n_shingles"), "component_id") \
-        .union(keyed.where("n = 0").select("doc_id", "n", "doc_id"))
+    return keyed, named.join(names, "whole").select("key", "whole", "component_id")
 
 
 def _prefixes(shared: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
@@ -336,10 +341,20 @@ def _grouped_links(rows: DataFrame, wanted: DataFrame, percent: int, task_grams:
     return links.union(cut(_joined(as_right.union(as_left), percent)))
 
 
-def one_of_each(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of ``docs``, with all their columns, that stand for their component: those with its doc_id.
+def one_of_each(docs: DataFrame, width: int = 5, percent: int = 80, task_grams: int = 1_000_000) -> DataFrame:
+    """One row of each component of ``docs``, with all its columns; rows without words all stay.
 
-    Of rows that share a doc_id, and of null doc_ids, all that do stay.
+    The row with the least doc_id stays (nulls last), of several the one with the least hash of the text, of equal
+    ones any one.
     """
-    found = jaccard_components(docs, width, percent).where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(found, F.col("doc_id").cast("long") == F.col("_gone"), "left_anti")
+    keyed, named = _named(docs, width, percent, task_grams)
+    counts = cut(keyed.where("n > 0").groupBy("key", "doc_id", "text_hash").agg(F.count(F.lit(1)).alias("copies")).join(named.select("key", "whole"), "key"))
+    first = counts.groupBy("whole").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("one"))
+    stays = (F.col("one.doc_id").eqNullSafe(F.col("doc_id"))) & (F.col("one.text_hash") == F.col("text_hash"))
+    # what happens to rows: 0 they go, 1 one of several equal ones stays; others are not in this table
+    fates = counts.join(first, "whole").withColumn("fate", F.when(~stays, 0).when(F.col("copies") > 1, 1)).where("fate IS NOT NULL") \
+        .groupBy(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).agg(F.max("fate").alias("_fate"))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc"), F.col("doc_id").cast("long").alias("_id0"), F.xxhash64("text").alias("_hash0"))
+    rows = rows.join(fates, F.col("_id0").eqNullSafe(F.col("_id")) & (F.col("_hash0") == F.col("_hash")), "left")
+    kept = rows.where("_fate IS NULL").select("_doc").union(rows.where("_fate = 1").groupBy("_id0", "_hash0").agg(F.first("_doc").alias("_doc")).select("_doc"))
+    return kept.select(*[F.col(f"_doc.`{c}`").alias(c) for c in docs.columns])
