@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from .bytetext import RangeHash, chunks, lower, mix, words
 from .links import components
-from .shared import cut, partitions
+from .shared import cut, partitions, release
 
 U = np.uint64
 MULTIPLIERS = np.random.default_rng(29).integers(1, 2**62, 16, U) * U(2) + U(1)
@@ -268,7 +268,10 @@ def _named(docs: DataFrame, width: int, percent: int, task_grams: int) -> tuple[
                                       F.min("small").alias("f0"), F.min("late").alias("f1"))
     # asking for the flags too lets the sum and the join read one shuffle
     shared = rows.join(known.where("k0 <> k1 AND f0 IS NOT NULL AND f1 IS NOT NULL").select("token", "times"), "token").dropDuplicates(["token", "key"])
-    prefixes = _prefixes(cut(shared), classes, percent)
+    shared = cut(shared)
+    del rows, known
+    release(docs.sparkSession)
+    prefixes = _prefixes(shared, classes, percent)
 
     # candidate groups
     first = prefixes.groupBy("token").agg(F.min("key").alias("first"))
@@ -281,6 +284,8 @@ def _named(docs: DataFrame, width: int, percent: int, task_grams: int) -> tuple[
     wanted = cut(wanted.join(chunks_of, "group").withColumn("chunk", F.pmod(F.xxhash64("key"), F.col("chunks"))))
     texts = plain.withColumn("_id", F.coalesce("doc_id", F.lit(NO_ID))).join(wanted, ["_id", "text_hash"])
     members = cut(_sets(texts.select("key", "group", "chunk", "chunks", "text"), width))
+    del texts
+    release(docs.sparkSession)
     links = _grouped_links(members, wanted, percent, task_grams)
 
     parts = components(links).select(F.col("node").alias("key"), F.col("component").alias("whole"))
@@ -349,6 +354,8 @@ def one_of_each(docs: DataFrame, width: int = 5, percent: int = 80, task_grams:
     """
     keyed, named = _named(docs, width, percent, task_grams)
     counts = cut(keyed.where("n > 0").groupBy("key", "doc_id", "text_hash").agg(F.count(F.lit(1)).alias("copies")).join(named.select("key", "whole"), "key"))
+    del keyed, named
+    release(docs.sparkSession)
     first = counts.groupBy("whole").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("one"))
     stays = (F.col("one.doc_id").eqNullSafe(F.col("doc_id"))) & (F.col("one.text_hash") == F.col("text_hash"))
     # what happens to rows: 0 they go, 1 one of several equal ones stays; others are not in this table
