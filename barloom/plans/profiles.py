@@ -236,7 +236,13 @@ def _(read):
     return K.bracket_metrics(K.bracket_trades(K.bracket_exits(bracket_input(read))))
 
 
-@query("w32_bracket_curve")
+SQL_CURVE = f"""{SQL_CHAIN}, held AS (SELECT b.symbol, b.config, b.ts, b.bar_no, b.close, coalesce(t.target_position, 0.0) AS position
+  FROM tg b LEFT JOIN tr t ON t.symbol = b.symbol AND t.config = b.config AND b.bar_no >= t.entry_no AND (t.exit_no IS NULL OR b.bar_no < t.exit_no)),
+moved AS (SELECT *, coalesce(lag(position) OVER w * (close / lag(close) OVER w - 1), 0.0) AS strategy_return FROM held WINDOW w AS (PARTITION BY symbol, config ORDER BY bar_no))
+SELECT symbol, config, ts, position, strategy_return, product(1 + strategy_return) OVER (PARTITION BY symbol, config ORDER BY bar_no) AS growth FROM moved"""
+
+
+@query("w32_bracket_curve", SQL_CURVE, r6="growth", r8="position strategy_return")
 def _(read):
     targets = bracket_input(read)
     return K.bracket_curve(targets, K.bracket_trades(K.bracket_exits(targets))).select(

@@ -31,4 +31,4 @@ def test_sql_names_known():
 
 def test_queries_without_sql():
     """Those that a loop in test_twins or a bound in test_limits checks instead."""
-    assert set(QUERIES) - set(ORACLES) == {"w21_w22_knn_vote", "w24_channels", "w25_channel_breaks", "g3_sweep_knn", "a21_smart_levels_wide", "w32_bracket_curve"}
+    assert set(QUERIES) - set(ORACLES) == {"w21_w22_knn_vote", "w24_channels", "w25_channel_breaks", "g3_sweep_knn", "a21_smart_levels_wide"}
