@@ -1,4 +1,4 @@
 """Named queries over the driver tables, each with an equivalent SQL statement where SQL can say it."""
 
-from . import assets, live, loads, market, metrics, pairs, profiles, results, text  # noqa: F401
+from . import assets, feeds, live, loads, market, metrics, pairs, profiles, results, text  # noqa: F401
 from .registry import ORACLES, QUERIES  # noqa: F401

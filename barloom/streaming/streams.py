@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators import store
@@ -88,17 +89,41 @@ def store_stream(stream: DataFrame, path: str, keys, by, checkpoint: str):
             .trigger(availableNow=True).start())
 
 
-def split_late(stream: DataFrame, on_time: str, late: str, bars_path: str, delay: str, checkpoint: str):
-    """Ticks older than the newest stored tick minus the delay go to a side table, the rest on."""
-    def write(batch: DataFrame, _: int) -> None:
-        spark = batch.sparkSession
-        known = store.read_table(spark, on_time, batch.schema)
-        # one row: the newest time seen so far
-        limit = known.agg((F.max("ts") - F.expr(f"interval {delay}")).alias("_limit"))
+def split_late(stream: DataFrame, root: str, delay: str, checkpoint: str, arrival: str = "tick_id", key: str = "symbol",
+               keys=("symbol", "tick_id")):
+    """On-time ticks to ``root/on_time``, late ones to ``root/late``, repeats dropped; batches may be replayed.
+
+    A tick is late if it is older than the newest tick of its symbol that arrived before it, less the delay, whatever
+    the cuts between batches: within a batch that is a running maximum in order of ``arrival``, across batches a mark
+    a symbol.  Every batch writes a folder of its own and overwrites it when it is replayed; its marks continue
+    those of the batch before, so one folder of a row a symbol is read, never the stored ticks.  A tick is a repeat if
+    an earlier batch stored it; only days that the batch holds are looked through.
+    """
+    def write(batch: DataFrame, number: int) -> None:
+        from ..operators.series import running
         from ..session import cut_lineage
-        marked = cut_lineage(batch.crossJoin(F.broadcast(limit))
-                             .withColumn("_late", F.coalesce(F.col("ts") < F.col("_limit"), F.lit(False))))
-        marked.filter("_late").drop("_late", "_limit").write.mode("append").parquet(late)
-        marked.filter("not _late").drop("_late", "_limit").write.mode("append").parquet(on_time)
+        spark = batch.sparkSession
+        columns = batch.columns
+        batch = cut_lineage(batch.groupBy(*keys).agg(F.min_by(F.struct(*columns), arrival).alias("_r")).select("_r.*"))
+        before = store.read_table(spark, f"{root}/marks/batch={number - 1}", f"{key} string, _mark timestamp")
+        seen = number_arrivals(batch, key, arrival)
+        seen = running(seen, {"_newest": ("max", F.col("ts"))}, (key,), before=True)
+        seen = seen.join(before, key, "left").withColumn("_limit", F.greatest("_newest", "_mark") - F.expr(f"interval {delay}"))
+        seen = cut_lineage(seen.withColumn("_late", F.coalesce(F.col("ts") < F.col("_limit"), F.lit(False))).withColumn("_day", F.to_date("ts")))
+        full = T.StructType([*batch.schema.fields, T.StructField("_day", T.DateType()), T.StructField("batch", T.LongType())])
+        stored = store.read_table(spark, f"{root}/on_time", full).unionByName(store.read_table(spark, f"{root}/late", full)).where(F.col("batch") < number)
+        known = cut_lineage(stored.join(seen.select("_day").distinct(), "_day", "left_semi").select(*keys))
+        for name, rows in (("on_time", seen.where("NOT _late")), ("late", seen.where("_late"))):
+            rows.join(known, list(keys), "left_anti").select(*columns, "_day").withColumn("batch", F.lit(number)) \
+                .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch", "_day").parquet(f"{root}/{name}")
+        now = batch.groupBy(key).agg(F.max("ts").alias("_mark"))
+        now.unionByName(before.select(key, "_mark")).groupBy(key).agg(F.max("_mark").alias("_mark")) \
+            .write.mode("overwrite").parquet(f"{root}/marks/batch={number}")
     return (stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
             .trigger(availableNow=True).start())
+
+
+def number_arrivals(batch: DataFrame, key: str, arrival: str) -> DataFrame:
+    """``bar_no`` by arrival within a key: the layout that running values are made in."""
+    from ..operators.series import number_bars
+    return number_bars(batch, (key,), order=arrival)

@@ -1,6 +1,7 @@
 """Readers, writers, store loads and streams on small files."""
 
 import json
+import os
 import tempfile
 from datetime import date, datetime
 
@@ -185,16 +186,26 @@ def test_store_stream_and_changes(spark, bars):
 
 
 def test_late_rows_go_aside(spark):
-    ts = [datetime(2024, 1, 1, h) for h in (10, 11, 12)]
-    first = spark.createDataFrame([(t,) for t in ts], "ts timestamp")
-    src, root = folder() + "/s", folder()
-    first.coalesce(1).write.parquet(src)
-    args = (f"{root}/ok", f"{root}/late", f"{root}/bars", "1 hour", f"{root}/c")
-    stream = spark.readStream.schema(first.schema).parquet(src)
-    W.split_late(stream, *args).awaitTermination()
-    spark.createDataFrame([(datetime(2024, 1, 1, 9),), (datetime(2024, 1, 1, 13),)], first.schema).coalesce(1).write.mode("append").parquet(src)
-    W.split_late(stream, *args).awaitTermination()
-    assert spark.read.parquet(f"{root}/ok").count() == 4 and spark.read.parquet(f"{root}/late").count() == 1
+    """Late by what arrived before, however it is cut into batches; repeats and replayed batches add nothing."""
+    schema = "symbol string, tick_id long, ts timestamp, price double"
+    hours = [("A", 1, 10), ("A", 2, 12), ("A", 3, 11), ("B", 4, 3), ("A", 5, 10), ("A", 6, 13), ("B", 7, 4), ("A", 8, 11), ("A", 9, 12), ("B", 10, 2)]
+    ticks = [(s, i, datetime(2024, 1, 1, h), 1.0) for s, i, h in hours]
+    late = {5, 8, 10}
+    for cuts in ([10], [3, 10], [1, 2, 5, 7, 10]):
+        src, root = folder() + "/s", folder()
+        start = 0
+        for end in cuts:
+            again = ticks[:2] if start else []                       # repeats of stored ticks, the second one late by now
+            spark.createDataFrame(ticks[start:end] + again + ticks[start:end], schema).repartition(2).write.mode("append").parquet(src)
+            W.split_late(spark.readStream.schema(schema).parquet(src), root, "90 minutes", f"{root}/c").awaitTermination()
+            start = end
+        def stored():
+            return [sorted(r.tick_id for r in spark.read.parquet(f"{root}/{n}").collect()) for n in ("on_time", "late")]
+        assert stored() == [sorted({i for _, i, _ in hours} - late), sorted(late)]
+        for name in (f"{len(cuts) - 1}", f".{len(cuts) - 1}.crc"):    # as if the query had died before its last batch was noted
+            os.remove(f"{root}/c/commits/{name}")
+        W.split_late(spark.readStream.schema(schema).parquet(src), root, "90 minutes", f"{root}/c").awaitTermination()
+        assert stored() == [sorted({i for _, i, _ in hours} - late), sorted(late)]
 
 
 def test_classification_without_cross_join(spark):
