@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 from ..functions import listing as L
 from ..functions.guards import bigint_or_null, pct_change_from_close, prev_close
 from ..functions.text import normalize_company
-from .series import BLOCK_BARS, number_bars
+from ..session import cut_lineage
+from .series import BLOCK_BARS, number_bars, running
 
 CAP_LIMIT, CAP_DROP, SUSPICIOUS = 4e12, 10e12, 1e12
 MIN_CAP_US, MIN_CAP_WORLD = 40e9, 50e6
@@ -282,25 +283,34 @@ def distinct_first(df: DataFrame, keys: Sequence[str], order: str = "row_no") ->
 def unique_symbols(df: DataFrame, order: str = "row_id", size: int = BLOCK_BARS) -> DataFrame:
     """Later occurrences of a symbol get the next free number from 2 on as a suffix.
 
-    Occurrences are numbered by span counts, so a symbol carried by a third of the rows
-    is not one task.  Numbers already used by a natural symbol are skipped; a number of
-    over 18 digits is out of reach of any count.
+    Occurrences are numbered by span counts, so a symbol carried by a third of the rows is not one task.  Numbers
+    that a natural symbol uses are skipped: the r-th of them, t, has t - 1 - r free numbers below it, so the i-th
+    free number is i + 1 and as many more as there are numbers in use with fewer than i free ones below.  That is a
+    running maximum over both, in blocks; no symbol's numbers meet in one place.  A number of over 18 digits
+    is out of reach of any count.
     """
-    numbered = number_bars(df, ("symbol",), size, order)
-    natural = df.select("symbol").distinct()
+    numbered = cut_lineage(number_bars(df.filter("symbol IS NOT NULL"), ("symbol",), size, order))
+    natural = numbered.select("symbol").distinct()
     # a name such as AB12 blocks 12 for AB and 2 for AB1
     parts = natural.withColumn("cut", F.explode(F.sequence(F.lit(1), F.length("symbol"))))
     parts = parts.select(F.expr("left(symbol, cut)").alias("symbol"),
                          F.expr("substring(symbol, cut + 1)").alias("_num"))
-    taken = (parts.filter(F.col("_num").rlike(r"^[1-9]\d{0,17}$"))
-             .join(natural, "symbol").groupBy("symbol")
-             .agg(F.sort_array(F.collect_set(F.col("_num").cast("long"))).alias("_taken")))
-    df2 = numbered.join(taken, "symbol", "left")
-    n = F.aggregate(F.coalesce(F.col("_taken"), F.array().cast("array<long>")), F.col("bar_no") + 1,
-                    lambda acc, t: F.when((t >= 2) & (t <= acc), acc + 1).otherwise(acc))
-    keep = (F.col("bar_no") == 0) | F.col("symbol").isin("", "N/A") | F.col("symbol").isNull()
-    return (df2.withColumn("unique_symbol", F.when(keep, F.col("symbol"))
-                           .otherwise(F.concat("symbol", n.cast("string")))).drop("_taken", "bar_no"))
+    taken = (parts.filter(F.col("_num").rlike(r"^[1-9]\d{0,17}$")).select("symbol", F.col("_num").cast("long").alias("_t"))
+             .filter("_t >= 2").join(natural, "symbol").distinct())
+    ranked = number_bars(taken, ("symbol",), size, "_t")
+    gaps = cut_lineage(ranked.groupBy("symbol", (F.col("_t") - 2 - F.col("bar_no")).alias("_below"))
+                       .agg(F.max(F.col("bar_no") + 1).alias("_rank")))
+    asked = (numbered.filter(F.col("bar_no") >= 1).select("symbol", order, (2 * F.col("bar_no")).alias("_place"))
+             .join(gaps.select("symbol").distinct(), "symbol", "left_semi"))
+    both = asked.unionByName(gaps.select("symbol", (2 * F.col("_below") + 1).alias("_place"), "_rank"), allowMissingColumns=True)
+    shift = (running(number_bars(both, ("symbol",), size, "_place"), {"_shift": ("max", F.col("_rank"))}, ("symbol",), size)
+             .filter(F.col(order).isNotNull()).select("symbol", order, "_shift"))
+    keep = (F.col("bar_no") == 0) | F.col("symbol").isin("", "N/A")
+    n = F.col("bar_no") + 1 + F.coalesce("_shift", F.lit(0))
+    named = (numbered.join(shift, ["symbol", order], "left")
+             .withColumn("unique_symbol", F.when(keep, F.col("symbol")).otherwise(F.concat("symbol", n.cast("string"))))
+             .select(*df.columns, "unique_symbol"))
+    return named.unionByName(df.filter("symbol IS NULL").withColumn("unique_symbol", F.col("symbol")))
 
 
 # ---------------------------------------------------------------- classification joins

@@ -106,3 +106,24 @@ def test_asof_blocks(bars):
     pa, pb = a.toPandas().sort_values("ts"), b.toPandas().sort_values("ts")
     want = pd.merge_asof(one[["ts"]], pb.rename(columns={"close": "w"}), on="ts")
     assert (want.w.to_numpy() == one.b_close.to_numpy()).all() and len(pa) <= len(one) + 1
+
+
+def test_unique_symbols_equal_loop(spark):
+    """Many repeats among names that use up numbers, in blocks of every size."""
+    import random
+    rng = random.Random(1)
+    names = ["A", "A2", "A3", "A5", "A22", "A23", "B", "B02", "B1", "B3", "A9" + "9" * 20, "", None, "N/A", "A4x"]
+    rows_ = [(i, rng.choice(names[:1] * 6 + names)) for i in range(300)]
+    df = spark.createDataFrame(rows_, "row_id long, symbol string")
+    natural = {s for _, s in rows_}
+    used, want = {}, []
+    for _, s in rows_:
+        k = used[s] = used.get(s, 0) + 1
+        if k == 1 or s in ("", "N/A", None):
+            want.append(s)
+            continue
+        free = (n for n in range(2, 10_000) if f"{s}{n}" not in natural)
+        want.append(f"{s}{[next(free) for _ in range(k - 1)][-1]}")
+    for size in (1000, 7):
+        got = A.unique_symbols(df, size=size)
+        assert [r.unique_symbol for r in got.orderBy("row_id").collect()] == want and got.columns == ["row_id", "symbol", "unique_symbol"]

@@ -215,3 +215,19 @@ def test_classification_without_cross_join(spark):
     assert {r.row_id: r.category for r in out.collect()} == {1: "Tech", 2: "Metal", 3: "Other"}
     plan = A.contains_pairs(df.selectExpr("row_id as a_key", "name as a_text"), cls.selectExpr("cls_id as b_key", "name as b_text"))
     assert "CartesianProduct" not in plan._jdf.queryExecution().toString()
+
+
+def test_database_snapshot(spark):
+    """A day between quantiles of its keys, as even parts; without keys in one."""
+    from barloom.sources import readers as R
+    url, props = "jdbc:derby:memory:snap", {"driver": "org.apache.derby.iapi.jdbc.AutoloadedDriver"}
+    rows = [(i if i < 40 else i * 1000, datetime(2024, 1, 2 if i % 3 else 3, 23, 59), "x") for i in range(60)]
+    spark.createDataFrame(rows, "k long, ts timestamp, note string").write.jdbc(f"{url};create=true", "snap", properties=props)
+    want = sorted(k for k, t, _ in rows if t.day == 2)
+    parts = R.read_snapshot_jdbc(spark, url, "snap", "2024-01-02", ["k"], props, "\"k\"", 4, "\"ts\"")
+    assert parts.columns == ["k"] and sorted(r.k for r in parts.collect()) == want
+    sizes = [r["count"] for r in parts.groupBy(F.spark_partition_id()).count().collect()]
+    assert len(sizes) == 4 and max(sizes) - min(sizes) <= 1
+    one = R.read_snapshot_jdbc(spark, url, "snap", "2024-01-02", ["k"], props, time_column="ts")
+    assert sorted(r.k for r in one.collect()) == want and "PushedFilters: [*" in one._jdf.queryExecution().toString()
+    assert R.read_snapshot_jdbc(spark, url, "snap", "2020-01-01", ["k"], props, "\"k\"", 4, "\"ts\"").count() == 0
