@@ -185,7 +185,7 @@ def last_by(rows: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataF
 
 
 def pending(store: Versions, wanted: dict[str, DataFrame], day: str, share: float = 0.95) -> DataFrame:
-    """Days of a batch that are not covered: some table lacks ``share`` of the rows that the batch has for the day.
+    """Days of a batch that are not covered: some table lacks ``share`` of the rows that the batch has for the day, or has none.
 
     The batch is counted by day, the store answers from its manifest.
     """
@@ -195,7 +195,7 @@ def pending(store: Versions, wanted: dict[str, DataFrame], day: str, share: floa
         counts = one if counts is None else counts.unionByName(one)
     have = store.coverage()
     return (counts.join(have, ["table_name", "cell"], "left")
-            .groupBy("cell").agg(F.bool_and(F.coalesce("n_rows", F.lit(0)) >= F.floor(F.col("want") * share)).alias("done"))
+            .groupBy("cell").agg(F.bool_and(F.coalesce("n_rows", F.lit(0)) >= F.greatest(F.floor(F.col("want") * share), F.lit(1))).alias("done"))
             .where(~F.col("done")).select("cell"))
 
 

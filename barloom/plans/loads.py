@@ -160,9 +160,9 @@ def _(read):
 
 @query("r5_incremental_store", f"""WITH {SQL_DAYS}, n AS (SELECT day, count(*) AS want, count(*) FILTER (o_orderkey % 50 <> 0) AS have FROM d GROUP BY 1),
 t AS (SELECT day, o_orderkey, CASE WHEN o_orderkey % 50 <> 0 AND day <> DATE '{DAY}' THEN o_totalprice ELSE o_totalprice + 1 END AS v FROM d JOIN n USING (day)
-  WHERE (day <> DATE '{DAY}' AND o_orderkey % 50 <> 0) OR day = DATE '{DAY}' OR have < floor(want * 0.95)),
-r AS (SELECT day, o_orderkey, CASE WHEN day = DATE '{DAY}' OR have < floor(want * 0.95) THEN 2 ELSE 1 END AS v FROM d JOIN n USING (day)
-  WHERE o_orderkey % 4 = 0 AND (day = DATE '{DAY}' OR have < floor(want * 0.95) OR o_orderkey % 50 <> 0))
+  WHERE (day <> DATE '{DAY}' AND o_orderkey % 50 <> 0) OR day = DATE '{DAY}' OR have < greatest(floor(want * 0.95), 1)),
+r AS (SELECT day, o_orderkey, CASE WHEN day = DATE '{DAY}' OR have < greatest(floor(want * 0.95), 1) THEN 2 ELSE 1 END AS v FROM d JOIN n USING (day)
+  WHERE o_orderkey % 4 = 0 AND (day = DATE '{DAY}' OR have < greatest(floor(want * 0.95), 1) OR o_orderkey % 50 <> 0))
 SELECT 'trend' AS table_name, day::TIMESTAMP AS day, o_orderkey, v FROM t UNION ALL SELECT 'trades', day::TIMESTAMP, o_orderkey, v FROM r""", r2="v")
 def _(read):
     """A second run brings all rows with other values: covered days are skipped, others get what is missing and new trades."""

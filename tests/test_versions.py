@@ -84,11 +84,11 @@ def test_changes_read_only_cells_that_differ(spark, tmp_path):
 
 def test_run_skips_covered_days(spark, tmp_path):
     store = V.Versions(spark, f"file://{tmp_path}/s")
-    first = rows(spark, *[(i, 1, "a", 1) for i in range(40)], *[(i, 1, "a", 2) for i in range(10)])
-    full = rows(spark, *[(i, 1, "b", 1) for i in range(41)], *[(i, 1, "b", 2) for i in range(20)])
+    first = rows(spark, *[(i, 1, "a", 1) for i in range(40)], *[(i, 1, "a", 2) for i in range(10)], (7, 1, "a", 3))
+    full = rows(spark, *[(i, 1, "b", 1) for i in range(41)], *[(i, 1, "b", 2) for i in range(20)], (7, 1, "b", 3))
     for batch in (first, full, full):
         store = V.store_run(store, {"t": batch}, {"p": batch}, "day", ["day", "k"])
     got = {(r.day.day, r.v): r["count"] for r in store.table("t", first.schema).groupBy("day", "v").count().collect()}
-    assert got == {(1, "a"): 40, (2, "a"): 10, (2, "b"): 10} and store.version == 2
+    assert got == {(1, "a"): 40, (2, "a"): 10, (2, "b"): 10, (3, "a"): 1} and store.version == 2
     got = {(r.day.day, r.v): r["count"] for r in store.table("p", first.schema).groupBy("day", "v").count().collect()}
-    assert got == {(1, "a"): 40, (2, "b"): 20}
+    assert got == {(1, "a"): 40, (2, "b"): 20, (3, "a"): 1}
