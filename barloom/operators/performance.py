@@ -35,6 +35,18 @@ def curve_metrics(curve: DataFrame, keys: Sequence[str] = KEYS, periods: float =
         F.count_if(F.col("signal_type") != 0).alias("n_signals"),
         F.count_if(F.col("event") == 1).alias("n_entries"),
         F.count_if(F.col("event") == -1).alias("n_exits"))
+    return finish_metrics(agg, periods)
+
+
+# columns of curve_metrics and sweeps
+METRICS = ("data_points", "first_ts", "last_ts", "final_value", "benchmark_value", "mean_return", "max_drawdown",
+           "benchmark_max_drawdown", "n_signals", "n_entries", "n_exits", "total_return", "benchmark_return",
+           "outperformance", "annualized_periods", "annualized_rows", "annualized_days", "volatility",
+           "benchmark_volatility", "volatility_252", "bar_win_rate", "bar_profit_factor", "sharpe_annual", "sharpe_252")
+
+
+def finish_metrics(agg: DataFrame, periods: float = PERIODS_8H) -> DataFrame:
+    """Ratios and annual rates out of the sums of a curve."""
     n = F.col("data_points") - 1
     total = F.col("final_value") / F.col("_start") - 1
     bench = F.col("benchmark_value") / F.col("_bstart") - 1

@@ -7,68 +7,145 @@ from itertools import product
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
 from .indicators import ewm_lookback, span_alpha
-from .performance import curve_metrics
-from .series import BLOCK_BARS, KEYS, Over, number_bars, running, windowed
-from .signals import effective_events, equity_curve
+from .performance import METRICS, finish_metrics
+from .series import BLOCK_BARS, KEYS, Over, number_bars, running
+from .signals import effective_events
 
 
 # ---------------------------------------------------------------- simple mean
 
 
+# what a stretch of a curve tells the stretches around it, for each state in which it may be entered
+_PART = ("growth", "top", "low", "dip", "n", "mean", "m2", "up", "moved", "gain", "loss", "entries", "exits")
+# the same of the prices alone
+_HOLD = ("begin", "end", "c_top", "c_low", "c_dip", "c_n", "c_mean", "c_m2")
+
+
+def _moments(r: np.ndarray) -> tuple[int, float, float]:
+    mean = float(r.mean()) if len(r) else 0.0
+    return len(r), mean, float(((r - mean) ** 2).sum())
+
+
+def _hold(close: np.ndarray, change: np.ndarray) -> tuple:
+    top = np.fmax.accumulate(close)
+    return (close[0], close[-1], top[-1], np.fmin.reduce(close), np.fmin.reduce(close / top), *_moments(change))
+
+
+def _part(side: np.ndarray, change: np.ndarray, first: bool, entered: bool) -> tuple:
+    """Summary of a stretch entered long (or flat); ``first`` if it holds the first bar of the history."""
+    at = np.maximum.accumulate(np.where(side != 0, np.arange(len(side)), -1))
+    before = np.concatenate(([-1], at[:-1]))
+    held = np.where(before >= 0, side[before] > 0, entered)
+    r = np.where(held, change, 0.0)
+    growth = np.cumprod(1 + r)
+    top = np.maximum.accumulate(growth)
+    acted = (side != 0) & ((side > 0) != held)
+    r = r[int(first):]
+    return (growth[-1], top[-1], growth.min(), (growth / top).min(), *_moments(r), int((r > 0).sum()), int((r != 0).sum()),
+            float(r[r > 0].sum()), float(-r[r < 0].sum()), int((acted & (side > 0)).sum()), int((acted & (side < 0)).sum()))
+
+
 def sweep_sma(bars: DataFrame, periods: Sequence[int] = range(100, 201), histories: Sequence[int] = (0,),
               capital: float = 10_000.0, spare: int = 50, size: int = BLOCK_BARS) -> DataFrame:
     """Metrics of the price/mean crossing per series, history length (days, 0 = all) and period.
 
-    One running sum gives the mean of every period: (cs[t] - cs[t-n]) / n.  The running
-    sums a bar needs are gathered once in an array as long as the longest period, so all
-    periods and both sides of a crossing come from one window.
+    One running sum gives the mean of every period: (cs[t] - cs[t-n]) / n.  A history is the end of its series, so
+    bars are numbered and summed once for all of them.  A block finds the crossings of a period and sums its curve up
+    in one row for each state it may be entered in (growth, peak, trough, drawdown, moments, counts); a drawdown over a
+    border is the least of that inside and of the trough against the peak before, x / max(a, b) = min(x / a, x / b).
+    Only those rows leave a block: blocks x histories x periods, however many bars there are.  Prices are above 0 (or
+    NULL, which makes no signal and no return); periods with fewer than ``spare`` bars beyond them are left out.
     """
+    periods, histories = [int(p) for p in periods], [int(h) for h in histories]
     longest = max(periods)
-    bars = bars.drop("bar_no")  # every history length counts its own bars
-    if tuple(histories) != (0,):
-        last = bars.groupBy(*KEYS).agg(F.max("ts").alias("_last"))
-        cut = F.explode(F.array(*[F.lit(h) for h in histories]))
-        bars = (bars.join(last, list(KEYS)).withColumn("history", cut)
-                .filter((F.col("history") == 0)
-                        | (F.col("ts") > F.col("_last") - F.make_dt_interval(F.col("history")))).drop("_last"))
-    else:
-        bars = bars.withColumn("history", F.lit(0))
-    keys = (*KEYS, "history")
-    df = running(bars, {"_cs": ("sum", F.col("close"))}, keys, size)
-
-    def fn(d, o):
-        return d.withColumns({"_h": F.collect_list("_cs").over(o.rows(-(longest + 1), 0)),
-                              "_pc": F.lag("close", 1).over(o.ordered)})
-    df = windowed(df.select(*keys, "ts", "close", "bar_no", "_cs"), fn, longest + 1, keys=keys, size=size)
-    lengths = df.groupBy(*keys).agg((F.max("bar_no") + 1).alias("_len"))
-    df = df.join(lengths, list(keys))
-    h, close, prev = F.col("_h"), F.col("close"), F.col("_pc")
-
-    def mean(n, back: int):
-        """Mean of n closes ending ``back`` bars ago; before bar 0 the running sum is 0."""
-        at = F.col("bar_no") - back
-        top = F.try_element_at(h, F.lit(-1 - back))
-        low = F.when(at == n - 1, 0.0).when(at >= n, F.try_element_at(h, -(n + 1 + back)))
-        return F.when(at >= n - 1, (top - low) / n)
-
-    def crossing(n):
-        now, then = mean(n, 0), F.when(F.col("bar_no") >= 1, mean(n, 1))
-        return F.struct(n.alias("sma_period"), F.when((close > now) & (prev <= then), 1)
-                        .when((close < now) & (prev >= then), -1).otherwise(0).alias("signal_type"))
-    # crossings of all periods are found on the bar itself; only they are multiplied, not the array
-    usable = F.filter(F.array(*[F.lit(int(p)) for p in periods]), lambda n: n + spare <= F.col("_len"))
-    df = df.withColumn("_x", F.transform(usable, crossing)).drop("_h", "_cs", "_pc", "_len")
-    # one row a bar; the curve below reads it several times
-    df = cut_lineage(df.select(*keys, "ts", "close", "bar_no", "_x"))
-    df = df.withColumn("_x", F.explode("_x")).select(*keys, "ts", "close", "bar_no", "_x.*")
-    by = (*keys, "sma_period")
-    curve = equity_curve(df, capital, keys=by, size=size)
-    return curve_metrics(curve, by)
+    keyed = bars.select(*KEYS, "ts", "close")
+    # a row a bar; read for the histories and for the blocks
+    df = cut_lineage(running(keyed, {"_cs": ("sum", F.col("close"))}, KEYS, size))
+    last = df.groupBy(*KEYS).agg(F.max("ts").alias("last_ts"), (F.max("bar_no") + 1).alias("_len"))
+
+    def within(h: int):
+        return F.lit(True) if h == 0 else F.col("ts") > F.col("last_ts") - F.make_dt_interval(F.lit(h))
+    # one row a series: where each history starts
+    facts = df.join(last, list(KEYS)).groupBy(*KEYS, "last_ts", "_len").agg(F.array(*[
+        F.min(F.when(within(h), F.struct(F.col("bar_no").alias("start"), F.col("ts").alias("first_ts")))) for h in histories]).alias("_h"))
+    spread = (df.withColumn("_blk", F.explode(F.sequence(F.floor(F.col("bar_no") / size),
+                                                         F.floor((F.col("bar_no") + longest + 1) / size))))
+              .join(facts.select(*KEYS, "_len", F.col("_h.start").alias("_starts")), list(KEYS))
+              .select(*KEYS, "_blk", "bar_no", "close", "_cs", "_starts", "_len"))
+    names = [f"{state}_{c}" for state in ("flat", "long") for c in _PART]
+    fields = ", ".join(f"{c} double" for c in (*_HOLD, *names))
+
+    def pieces(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("bar_no", ignore_index=True)
+        symbol, timeframe, blk, lead, length = (pdf[c].iat[0] for c in (*KEYS, "_blk", "bar_no", "_len"))
+        close = pdf["close"].to_numpy(dtype=float)
+        # before bar 0 the running sum is 0; elsewhere the lead-in is long enough
+        sums = np.concatenate((np.zeros(longest + 2), pdf["_cs"].to_numpy(dtype=float)))
+        found = []
+        for history, start in zip(histories, pdf["_starts"].iat[0]):
+            own = max(int(blk) * size, int(start)) - int(lead)
+            usable = [n for n in periods if n + spare <= length - start]
+            if own >= len(close) or not usable:
+                continue
+            first = own + lead == start
+            c = close[own:]
+            prev = np.concatenate(([np.nan], close))[own:-1]
+            if first:
+                prev[0] = np.nan
+            change = np.divide(c, prev, out=np.ones_like(c), where=(prev != 0) & ~np.isnan(c) & ~np.isnan(prev)) - 1
+            hold = _hold(c, change[int(first):])
+            # bars of the history before the one at hand, from one bar earlier on
+            at = np.arange(own - 1, len(close)) + lead - start
+            for n in usable:
+                end = longest + 2 + len(close)
+                mean = np.where(at >= n - 1, (sums[longest + 1 + own:] - sums[longest + 1 + own - n:end - n]) / n, np.nan)
+                now, then = mean[1:], mean[:-1]
+                side = np.where((c > now) & (prev <= then), 1, np.where((c < now) & (prev >= then), -1, 0))
+                hits = np.flatnonzero(side)
+                found.append((symbol, timeframe, history, n, blk, len(hits), side[hits[-1]] if len(hits) else 0, *hold,
+                              *_part(side, change, first, False), *_part(side, change, first, True)))
+        return pd.DataFrame(found, columns=[*KEYS, "history", "sma_period", "_blk", "n_signals", "_side", *_HOLD, *names])
+    parts = spread.groupBy(*KEYS, "_blk").applyInPandas(
+        pieces, f"symbol string, timeframe string, history int, sma_period int, _blk bigint, n_signals bigint, _side int, {fields}")
+    by = (*KEYS, "history", "sma_period")
+    starts = facts.select(*KEYS, "last_ts", "_len", F.explode(F.arrays_zip(
+        F.array(*[F.lit(h) for h in histories]).alias("history"), F.col("_h").alias("h"))).alias("_x"))
+    starts = starts.select(*KEYS, F.col("_x.history").alias("history"), F.col("_x.h.first_ts").alias("first_ts"), "last_ts",
+                           (F.col("_len") - F.col("_x.h.start")).alias("data_points"))
+    return finish_metrics(_joined(parts, by, capital).join(starts, [*KEYS, "history"])).select(*by, *METRICS)
+
+
+def _joined(parts: DataFrame, by: Sequence[str], capital: float) -> DataFrame:
+    """One row a curve out of the summaries of its blocks; a block is entered as the last signal before it says."""
+    before = Window.partitionBy(*by).orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)
+    side = F.when(F.col("_side") != 0, F.col("_side"))
+    df = parts.withColumn("_long", F.coalesce(F.last(side, ignorenulls=True).over(before), F.lit(-1)) > 0)
+    df = df.select(*by, "_blk", "n_signals", *_HOLD,
+                   *[F.when(F.col("_long"), F.col(f"long_{c}")).otherwise(F.col(f"flat_{c}")).alias(c) for c in _PART])
+    df = df.withColumns({"_g": F.coalesce(F.product("growth").over(before), F.lit(1.0)), "_c": F.max("c_top").over(before)})
+    df = df.withColumn("_m", F.max(F.col("_g") * F.col("top")).over(before))
+
+    def spread_of(n: str, mean: str, m2: str):
+        """Sample deviation out of the moments of the parts."""
+        count = F.sum(n)
+        middle = F.try_divide(F.sum(F.col(n) * F.col(mean)), count)
+        square = F.sum(m2) + F.sum(F.col(n) * F.col(mean) * F.col(mean)) - count * middle * middle
+        return F.when(count > 1, F.sqrt(F.greatest(square, F.lit(0.0)) / (count - 1)))
+    return df.groupBy(*by).agg(
+        (F.product("growth") * capital).alias("final_value"), F.lit(capital).alias("_start"),
+        (F.max_by("end", "_blk") / F.min_by("begin", "_blk") * capital).alias("benchmark_value"), F.lit(capital).alias("_bstart"),
+        spread_of("n", "mean", "m2").alias("_sd"), spread_of("c_n", "c_mean", "c_m2").alias("_msd"),
+        F.try_divide(F.sum(F.col("n") * F.col("mean")), F.sum("n")).alias("mean_return"),
+        (F.min(F.least("dip", F.col("_g") / F.col("_m") * F.col("low"))) - 1).alias("max_drawdown"),
+        (F.min(F.least("c_dip", F.col("c_low") / F.col("_c"))) - 1).alias("benchmark_max_drawdown"),
+        F.sum("up").alias("_up"), F.sum("moved").alias("_moved"), F.sum("gain").alias("_gain"), F.sum("loss").alias("_loss"),
+        F.sum("n_signals").alias("n_signals"),
+        F.sum("entries").cast("long").alias("n_entries"), F.sum("exits").cast("long").alias("n_exits"))
 
 
 # ---------------------------------------------------------------- crossing events

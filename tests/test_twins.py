@@ -94,6 +94,35 @@ def test_knn_sweep_equals_single_runs(bars):
     np.testing.assert_allclose(res.final_capital, rows(curve).equity.iloc[-1], rtol=1e-9)
 
 
+def test_mean_sweep_equals_single_runs(spark, pbars):
+    """Summaries of blocks give what the whole curve gives, in every column, whatever the blocks; whole prices sum exactly."""
+    from barloom.operators import performance as P
+    whole = pbars[["symbol", "timeframe", "ts", "close"]].assign(close=pbars.close.round())
+    gaps = whole.assign(close=whole.close.mask(whole.ts.dt.dayofyear % 19 == 3))
+
+    def frame(p):
+        return spark.createDataFrame(p).withColumns({"ts": F.col("ts").cast("timestamp_ntz"), "close": F.when(~F.isnan("close"), F.col("close"))})
+
+    def crossings(g, n):
+        mean = g.close.fillna(0).rolling(n).sum() / n
+        up = (g.close > mean) & (g.close.shift() <= mean.shift())
+        down = (g.close < mean) & (g.close.shift() >= mean.shift())
+        return g.assign(symbol=g.symbol + f"|{n}", bar_no=np.arange(len(g)), signal_type=up.astype(int) - down.astype(int))
+    for source in (whole, gaps):
+        end = source.groupby("symbol").ts.transform("max")
+        parts = []
+        for history, p in ((0, source), (10, source[source.ts > end - pd.Timedelta(days=10)])):
+            for symbol, g in p.groupby("symbol"):
+                parts += [crossings(g.assign(symbol=f"{symbol}|{history}"), n) for n in (5, 9) if len(g) >= n + 10]
+        want = P.curve_metrics(S.equity_curve(frame(pd.concat(parts)))).toPandas().sort_values("symbol", ignore_index=True)
+        assert len(want) == 8 and (want.n_entries > 3).all()
+        for size in (65_536, 37, 6):
+            got = G.sweep_sma(frame(source), (5, 9), (0, 10), spare=10, size=size).toPandas()
+            got["symbol"] = got.symbol + "|" + got.history.astype(str) + "|" + got.sma_period.astype(str)
+            got = got.sort_values("symbol", ignore_index=True)
+            pd.testing.assert_frame_equal(got[list(want.columns)], want, check_dtype=False, rtol=1e-9, atol=1e-9)
+
+
 def naive_channels(p, prd, loopback, pct, most, span):
     """Channels as of the newest pivot of p; none without a pivot."""
     high, low, n = p.high.to_numpy(), p.low.to_numpy(), len(p)
