@@ -331,37 +331,90 @@ def apply_classification(df: DataFrame, cls: DataFrame) -> DataFrame:
     return (out.withColumn("category", F.least("_cn", "_ct")["category"]).drop("_n", "_t", "_cn", "_ct"))
 
 
+def _bounds(q: int, longest: int) -> list[int]:
+    """Depths of the trie's nodes: q, 2q, 4q ... characters below the longest text."""
+    out = [q]
+    while out[-1] * 2 < longest:
+        out.append(out[-1] * 2)
+    return out
+
+
+def prefix_texts(a: DataFrame, b: DataFrame, q: int = 12) -> DataFrame:
+    """Pairs (a_key, b_text, b_key) of one side where the text of a begins with that of b, by a trie joined level by level.
+
+    a has side, a_key and a_text; b has side, b_text and b_key, a row a side and text.  The texts of b (not empty) share
+    their beginnings of q, 2q, 4q ... characters: such a beginning is one node, which knows the lengths at which to
+    look next.  Every text of a looks up its pieces of those lengths, one equi join a level, and goes on only from nodes
+    it reached.  However many texts begin alike, they are met as one node, so no pair is made that does not hold; a
+    piece met by very many texts is one row on the other side, which a skewed join can be split along.  Levels
+    grow with the logarithm of the longest text of b.
+    """
+    size = F.length("b_text")
+    b = b.filter(size > 0)
+    bounds = _bounds(q, b.agg(F.max(size)).first()[0] or 0)
+    # a text stands under the nodes of its beginnings; the length after a node is that of the next one or its own
+    path = F.array(F.struct(F.lit("").alias("at"), F.least(size, F.lit(q)).alias("next")),
+                   *[F.struct(F.substring("b_text", 1, n).alias("at"), F.least(size, F.lit(2 * n)).alias("next")) for n in bounds])
+    ends = F.struct(F.col("b_text").alias("at"), F.lit(None).cast("int").alias("next"))
+    path = F.concat(F.filter(path, lambda x: F.length(x["at"]) < size), F.array(ends))
+    # at most q lengths under the root and as many as its own depth under a node
+    tree = (b.select("side", "b_key", F.explode(path).alias("_n")).groupBy("side", F.col("_n.at").alias("_at"))
+            .agg(F.collect_set("_n.next").alias("_lens"), F.count_if(F.col("_n.next").isNull()).alias("_ends"),
+                 F.max(F.when(F.col("_n.next").isNull(), F.col("b_key"))).alias("b_key")))
+    tree = cut_lineage(tree)
+    # a row a side, of at most q numbers: broadcast
+    root = tree.filter(F.col("_at") == "").select("side", "_lens")
+    state = a.filter(F.length("a_text") > 0).select("side", "a_key", F.col("a_text").alias("_s")).join(F.broadcast(root), "side")
+    found = None
+    for depth in bounds + [None]:
+        fits = F.filter("_lens", lambda n: n <= F.length("_s"))
+        pieces = state.select("side", "a_key", "_s", F.explode(fits).alias("_n"))
+        pieces = pieces.select("side", "a_key", F.col("_s").substr(F.lit(1), F.col("_n")).alias("_at"),
+                               *([F.when(F.col("_n") == depth, F.col("_s")).alias("_s")] if depth else []))
+        met = pieces.join(tree, ["side", "_at"])
+        if depth is not None:
+            # few texts reach a node; read for the pairs and for the next level
+            met = cut_lineage(met)
+            state = met.filter((F.size("_lens") > 0) & F.col("_s").isNotNull()).select("side", "a_key", "_s", "_lens")
+        pairs = met.filter("_ends > 0").select("side", "a_key", F.col("_at").alias("b_text"), "b_key")
+        found = pairs if found is None else found.unionByName(pairs)
+    return found
+
+
+def endings(text: str) -> Column:
+    """Array of the endings of a text, the whole one first; none of an empty text."""
+    c = F.col(text)
+    return F.transform(F.when(F.length(c) > 0, F.sequence(F.lit(1), F.length(c))), lambda i: F.substr(c, i))
+
+
 def contains_pairs(a: DataFrame, b: DataFrame, q: int = 12) -> DataFrame:
-    """Pairs (a_key, b_key) where the text of a contains the text of b, without a cross join.
+    """Pairs (a_key, b_key) where the text of a contains that of b: one of its endings begins with it."""
+    texts = b.select(F.lit(0).alias("side"), "b_text", F.lit(0).alias("b_key")).distinct()
+    found = prefix_texts(a.select(F.lit(0).alias("side"), "a_key", F.explode(endings("a_text")).alias("a_text")), texts, q)
+    return found.select("a_key", "b_text").distinct().join(b, "b_text").select("a_key", "b_key")
+
+
+def apply_classification_fuzzy(df: DataFrame, cls: DataFrame, q: int = 12) -> DataFrame:
+    """Category when one name contains the other (any case); the earlier one wins.  Names are looked up once each.
 
-    The key of b is its first q characters (all of it when shorter).  a is exploded into
-    its distinct pieces of the lengths that occur and equi-joined, then the test is made.
+    Class names inside a row's name (side 0) and row names inside a class name (side 1) are found in one walk; for the
+    latter, equal endings of class names are reduced to their least class first.  Rows without a name match nothing.
     """
-    right = b.filter(F.length("b_text") > 0).withColumn("_g", F.substring("b_text", 1, q))
-    # at most q different lengths
-    lengths = right.agg(F.collect_set(F.length("_g")).alias("_lens"))
-    text = F.col("a_text")
-    pieces = F.array_distinct(F.flatten(F.transform("_lens", lambda n: F.when(
-        F.length(text) >= n, F.transform(F.sequence(F.lit(1), F.length(text) - n + 1),
-                                         lambda i: F.substring(text, i, n)))
-        .otherwise(F.array().cast("array<string>")))))
-    left = a.crossJoin(F.broadcast(lengths)).select("a_key", "a_text", F.explode(pieces).alias("_g"))
-    return left.join(right, "_g").filter(text.contains(F.col("b_text"))).select("a_key", "b_key")
-
-
-def apply_classification_fuzzy(df: DataFrame, cls: DataFrame, key: str = "row_id") -> DataFrame:
-    """Category when one name contains the other (any case); the earlier one wins."""
-    names = df.select(F.col(key).alias("a_key"), F.lower("name").alias("a_text"))
+    names = df.select(F.lower("name").alias("_name")).filter(F.length("_name") > 0).distinct()
     # of classes of one name only the earliest can win
-    known = cls.groupBy(F.lower("name").alias("b_text")).agg(F.min("cls_id").alias("b_key"))
-    forward = contains_pairs(names, known)
-    backward = contains_pairs(known.select(F.col("b_key").alias("a_key"), F.col("b_text").alias("a_text")),
-                              names.select(F.col("a_key").alias("b_key"), F.col("a_text").alias("b_text"))
-                              ).select(F.col("b_key").alias("a_key"), F.col("a_key").alias("b_key"))
-    first = forward.unionByName(backward).groupBy("a_key").agg(F.min("b_key").alias("cls_id"))
-    hit = first.join(cls.select("cls_id", F.col("category").alias("_cat")), "cls_id")
-    out = df.join(hit.select(F.col("a_key").alias(key), "_cat"), key, "left")
-    return out.withColumn("category", F.coalesce("_cat", L.fallback_category("name"))).drop("_cat")
+    known = cls.groupBy(F.lower("name").alias("_name")).agg(F.min("cls_id").alias("cls_id"))
+    nobody, no_class = F.lit(None).cast("string"), known.select("cls_id").schema[0].dataType
+    parts = names.select(F.lit(0).alias("side"), F.struct("_name", F.lit(None).cast(no_class).alias("cls_id")).alias("a_key"),
+                         F.explode(endings("_name")).alias("a_text"))
+    ends = known.select("cls_id", F.explode(endings("_name")).alias("a_text")).groupBy("a_text").agg(F.min("cls_id").alias("cls_id"))
+    asked = parts.unionByName(ends.select(F.lit(1).alias("side"), F.struct(nobody.alias("_name"), "cls_id").alias("a_key"), "a_text"))
+    texts = (known.select(F.lit(0).alias("side"), F.col("_name").alias("b_text"), F.col("cls_id").alias("b_key"))
+             .unionByName(names.select(F.lit(1).alias("side"), F.col("_name").alias("b_text"), F.lit(None).cast(no_class).alias("b_key"))))
+    first = (prefix_texts(asked, texts, q).groupBy(F.coalesce("a_key._name", "b_text").alias("_name"))
+             .agg(F.min(F.coalesce("a_key.cls_id", "b_key")).alias("cls_id")))
+    hit = first.join(cls.groupBy("cls_id").agg(F.min("category").alias("_cat")), "cls_id").drop("cls_id")
+    out = df.withColumn("_name", F.lower("name")).join(hit, "_name", "left")
+    return out.withColumn("category", F.coalesce("_cat", L.fallback_category("name"))).drop("_cat", "_name")
 
 
 def missing_ranks(df: DataFrame, top: int = 500, per_page: int = 100) -> DataFrame:

@@ -231,3 +231,28 @@ def test_database_snapshot(spark):
     one = R.read_snapshot_jdbc(spark, url, "snap", "2024-01-02", ["k"], props, time_column="ts")
     assert sorted(r.k for r in one.collect()) == want and "PushedFilters: [*" in one._jdf.queryExecution().toString()
     assert R.read_snapshot_jdbc(spark, url, "snap", "2020-01-01", ["k"], props, "\"k\"", 4, "\"ts\"").count() == 0
+
+
+def test_fuzzy_classification_equals_loop(spark):
+    """Long, short, hot, equal and missing names, whatever the depth of the first level."""
+    import random
+    rng = random.Random(3)
+    words = ["international", "a", "ab", "gold", "metals", "international metals holding of the north", "\u00e9t\u00e9", "ba"]
+    made = [" ".join(rng.choices(words, k=rng.choice([1, 1, 2, 3, 7]))) for _ in range(120)]
+    names = [*made[:70], made[0], None, "", "Gold", "zzz"]
+    classes = [*made[60:], "INTERNATIONAL", "international met", made[60], "", None, "x" * 60]
+    rng.shuffle(classes)
+    df = spark.createDataFrame(list(enumerate(names)), "row_id int, name string")
+    cls = spark.createDataFrame([(i, n, f"c{i}") for i, n in enumerate(classes)], "cls_id int, name string, category string")
+    want = {}
+    for i, n in enumerate(names):
+        hits = [f"c{j}" for j, c in enumerate(classes) if n and c and (c.lower() in n.lower() or n.lower() in c.lower())]
+        want[i] = hits[0] if hits else None
+    assert len(set(want.values())) > 10
+    for q in (2, 5, 12):
+        got = {r.row_id: r.category for r in A.apply_classification_fuzzy(df, cls, q=q).collect()}
+        assert len(got) == len(names) and all(got[i] == w for i, w in want.items() if w), q
+        pairs = A.contains_pairs(df.selectExpr("row_id as a_key", "name as a_text"), cls.selectExpr("cls_id as b_key", "name as b_text"), q)
+        assert sorted(map(tuple, pairs.collect())) == sorted((i, j) for i, n in enumerate(names) for j, c in enumerate(classes) if n and c and c in n), q
+    none = cls.limit(0)
+    assert A.apply_classification_fuzzy(df, none).count() == len(names) and A.apply_classification_fuzzy(df.limit(0), cls).count() == 0
