@@ -99,12 +99,15 @@ def normalize_company(name) -> Column:
     return F.trim(F.regexp_replace(out, r"(?U)\s+", " "))
 
 
+CONTROLS = r"[\x00-\x1F\x7F]"
+
+
 def repair_text(text) -> Column:
     """Undo known mojibake and drop ASCII control characters."""
     out = _c(text)
     for bad, good in MOJIBAKE:
         out = F.replace(out, F.lit(bad), F.lit(good))
-    return F.regexp_replace(out, r"[\x00-\x1F\x7F]", "")
+    return F.regexp_replace(out, CONTROLS, "")
 
 
 @F.pandas_udf(StringType())
@@ -114,9 +117,9 @@ def nfc(text: pd.Series) -> pd.Series:
 
 
 def normalize_text(text) -> Column:
-    repaired = repair_text(text)
-    # ASCII text is composed already and stays in the JVM
-    return F.trim(F.coalesce(nfc(F.when(repaired.rlike(r"[^\x00-\x7F]"), repaired)), repaired))
+    """Repaired and composed.  ASCII text has neither mojibake nor anything to compose and stays in the JVM."""
+    text = _c(text)
+    return F.trim(F.coalesce(nfc(F.when(text.rlike(r"[^\x00-\x7F]"), repair_text(text))), F.regexp_replace(text, CONTROLS, "")))
 
 
 def clean_holder(name) -> Column:
