@@ -232,37 +232,37 @@ def _ewm(x: np.ndarray, alphas: np.ndarray, first_no: int) -> np.ndarray:
 
 def sweep_macd(bars: DataFrame, fast: Sequence[int] = range(5, 20), slow: Sequence[int] = range(20, 35),
                signal: Sequence[int] = range(5, 15), capital: float = 10_000.0,
-               size: int = BLOCK_BARS) -> DataFrame:
-    """Return, trades and win rate of every (fast, slow, signal) with fast below slow.
+               size: int = BLOCK_BARS, sets: Sequence[tuple[int, int, int]] | None = None) -> DataFrame:
+    """Return, trades and win rate of every (fast, slow, signal) with fast below slow, or of those in ``sets``.
 
     The signal line is linear in its input, so it is the difference of two smoothed means
     that depend on one span each: 30 spans x 10 signals instead of 2,250 sets.  A block
     computes those with numpy, a task for each signal span, and emits only the crossings.
     """
-    fast, slow, signal = list(fast), list(slow), list(signal)
-    spans = sorted(set(fast) | set(slow))
+    sets = [x for x in (product(fast, slow, signal) if sets is None else sets) if x[0] < x[1]]
+    signal = sorted({g for _, _, g in sets})
+    spans = sorted({n for f, s, _ in sets for n in (f, s)})
     col = {s: i for i, s in enumerate(spans)}
-    sets = np.array([(f, s) for f, s in product(fast, slow) if f < s], dtype=np.int64)
+    pairs = {g: np.array([x[:2] for x in sets if x[2] == g], dtype=np.int64) for g in signal}
     back = 2 * max(ewm_lookback(span_alpha(s)) for s in (*spans, *signal)) + 1
 
     def fn(pdf: pd.DataFrame, signals: Sequence[int]) -> pd.DataFrame:
         close, no = pdf["close"].to_numpy(), pdf["bar_no"].to_numpy()
         mean = _ewm(close, np.array([span_alpha(s) for s in spans]), no[0])
-        f, s = [col[x] for x in sets[:, 0]], [col[x] for x in sets[:, 1]]
-        line = mean[:, f] - mean[:, s]
         own = no // size == pdf["_blk"].to_numpy()
         found = []
         for g in signals:
+            f, s = ([col[x] for x in side] for side in pairs[g].T)
             smooth = _ewm(mean, np.array([span_alpha(g)]), no[0])[:, :, 0]
-            gap = line - (smooth[:, f] - smooth[:, s])
+            gap = mean[:, f] - mean[:, s] - (smooth[:, f] - smooth[:, s])
             up = (gap[1:] > 0) & (gap[:-1] <= 0)
             down = (gap[1:] < 0) & (gap[:-1] >= 0)
             hit = (up | down) & own[1:, None]
             at, which = np.nonzero(hit)
             found.append(pd.DataFrame({
                 "symbol": pdf["symbol"].iat[0], "timeframe": pdf["timeframe"].iat[0], "bar_no": no[at + 1],
-                "close": close[at + 1], "fast": sets[which, 0].astype(np.int32),
-                "slow": sets[which, 1].astype(np.int32), "signal": np.int32(g),
+                "close": close[at + 1], "fast": pairs[g][which, 0].astype(np.int32),
+                "slow": pairs[g][which, 1].astype(np.int32), "signal": np.int32(g),
                 "signal_type": np.where(up[at, which], 1, -1).astype(np.int32)}))
         return pd.concat(found, ignore_index=True)
     by = (*KEYS, "fast", "slow", "signal")

@@ -199,8 +199,8 @@ def _(read):
 FAST, SLOW, SIGNAL = range(5, 20), range(20, 35), range(5, 15)
 
 
-def macd_sweep_frame(read):
-    return G.sweep_macd(bars_4h(read), FAST, SLOW, SIGNAL)
+def macd_sweep_frame(read, sets=None):
+    return G.sweep_macd(bars_4h(read), FAST, SLOW, SIGNAL, sets=sets)
 
 
 def sql_macd_sweep() -> str:
@@ -311,10 +311,10 @@ def _(read):
 @query("t5_sample_params", f"""{sql_macd_sweep()}, p AS (SELECT fast, slow, signal FROM (SELECT DISTINCT fast, slow, signal FROM res) ORDER BY md5(concat_ws(',', fast, slow, signal, '42')) LIMIT 50)
 SELECT symbol, fast, slow, signal, total_return FROM res JOIN p USING (fast, slow, signal)""", r4="total_return")
 def _(read):
-    """Fifty parameter sets of the grid, with their results."""
-    swept = cut_lineage(macd_sweep_frame(read))
-    return swept.join(G.sample_params(swept.select("fast", "slow", "signal").distinct(), 50), ["fast", "slow", "signal"]).select(
-        "symbol", "fast", "slow", "signal", "total_return")
+    """Fifty parameter sets of the grid, with their results; only those are swept."""
+    grid = G.grid(read("events").sparkSession, fast=FAST, slow=SLOW, signal=SIGNAL).drop("param_id")
+    sets = [tuple(r) for r in G.sample_params(grid.filter("fast < slow"), 50).collect()]
+    return macd_sweep_frame(read, sets).select("symbol", "fast", "slow", "signal", "total_return")
 
 
 @query("t7_order_results", f"{sql_macd_sweep()} SELECT symbol, fast, slow, signal, total_return FROM res WHERE total_trades > 0 ORDER BY total_return DESC", r4="total_return")

@@ -99,7 +99,13 @@ def _(read):
     return R.smart_levels(R.volume_profile(bars_1d(read), LOOK, ROWS))
 
 
-@query("a21_smart_levels_wide")
+@query("a21_smart_levels_wide", f"""WITH RECURSIVE {SQL_4H[len('WITH '):]}, {sql_features()}, {sql_profile(LOOK, 100)}, fl AS (SELECT symbol, quantile_cont(total_volume, 0.7) AS fl FROM prof GROUP BY 1),
+hv AS (SELECT p.*, row_number() OVER (PARTITION BY symbol ORDER BY row_no) AS i FROM prof p JOIN fl USING (symbol) WHERE total_volume > fl),
+sd AS (SELECT symbol, i, price_level AS seed FROM hv WHERE i = 1 UNION ALL
+  SELECT h.symbol, h.i, CASE WHEN abs(g.seed - h.price_level) / g.seed < 0.05 THEN g.seed ELSE h.price_level END FROM sd g JOIN hv h ON h.symbol = g.symbol AND h.i = g.i + 1)
+SELECT symbol, timeframe, sum(price_level * total_volume) / sum(total_volume) AS price, sum(total_volume) AS volume, count(*) AS strength,
+  sum(buy_volume) AS buy_volume, sum(sell_volume) AS sell_volume, sum(institutional_volume) AS institutional_volume FROM hv JOIN sd USING (symbol, i) GROUP BY symbol, timeframe, seed""",
+       r6="price", r2="volume buy_volume sell_volume institutional_volume")
 def _(read):
     return R.smart_levels(R.volume_profile(bars_4h(read), LOOK, 100), 0.7, 0.05)
 

@@ -10,7 +10,7 @@ from barloom.plans import ORACLES, QUERIES
 SOME = ("m_strategy_metrics", "w5_macd", "w18_w20_knn_trend", "a14_j13_excursions", "a16_j11_volume_profile", "asset_master",
         "g2_sweep_macd", "j3_align_asof", "a10_ratio_stats", "s17_upsert", "a30_d4_audit_duplicates", "f1_normalize_company",
         "s27_parse_holding", "w39_unique_symbols", "j10_classification_fuzzy", "v7_f17_signal_history", "w32_bracket_curve",
-        "r6_refresh_four_tables", "r5_incremental_store", "r4_change_feed", "r7_late_ticks", "s17_load_upsert", "s22_first_usable", "s14_write_and_read")
+        "a21_smart_levels_wide", "g1_sweep_sma", "t5_sample_params", "r6_refresh_four_tables", "r5_incremental_store", "r4_change_feed", "r7_late_ticks", "s17_load_upsert", "s22_first_usable", "s14_write_and_read")
 NAMES = list(QUERIES) if os.environ.get("ALL_QUERIES") else list(SOME)
 SF = os.environ.get("QUERY_SF_DIR", "/root/testdata/sf0.001")
 
@@ -32,4 +32,4 @@ def test_sql_names_known():
 
 def test_queries_without_sql():
     """Those that a loop in test_twins or a bound in test_limits checks instead."""
-    assert set(QUERIES) - set(ORACLES) == {"w21_w22_knn_vote", "w24_channels", "w25_channel_breaks", "g3_sweep_knn", "a21_smart_levels_wide"}
+    assert set(QUERIES) - set(ORACLES) == {"w21_w22_knn_vote", "w24_channels", "w25_channel_breaks", "g3_sweep_knn"}
