@@ -86,8 +86,7 @@ def _(read):
     noted = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/state/commits/2")
     noted.getFileSystem(spark._jsc.hadoopConfiguration()).delete(noted, False)
     run()
-    parts = [spark.read.parquet(f"{root}/{name}").select(*ticks.columns).withColumn("late", F.lit(late)) for name, late in (("on_time", False), ("late", True))]
-    return parts[0].unionByName(parts[1]).withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+    return W.read_split(spark, root, ticks.schema).withColumn("ts", F.col("ts").cast("timestamp_ntz"))
 
 
 @query("r3_stream_alerts", f"{SQL_1H}, {sql_macd()} SELECT symbol, timeframe, ts, close, signal_type FROM macd WHERE signal_type <> 0", r6="close")

@@ -97,7 +97,8 @@ def split_late(stream: DataFrame, root: str, delay: str, checkpoint: str, arriva
     the cuts between batches: within a batch that is a running maximum in order of ``arrival``, across batches a mark
     a symbol.  Every batch writes a folder of its own and overwrites it when it is replayed; its marks continue
     those of the batch before, so one folder of a row a symbol is read, never the stored ticks.  A tick is a repeat if
-    an earlier batch stored it; only days that the batch holds are looked through.
+    an earlier batch stored it; only days that the batch holds are looked through.  Where no tick was late there is no
+    file below ``root/late``: ``read_split`` reads both.
     """
     def write(batch: DataFrame, number: int) -> None:
         from ..operators.series import running
@@ -114,7 +115,8 @@ def split_late(stream: DataFrame, root: str, delay: str, checkpoint: str, arriva
         stored = store.read_table(spark, f"{root}/on_time", full).unionByName(store.read_table(spark, f"{root}/late", full)).where(F.col("batch") < number)
         known = cut_lineage(stored.join(seen.select("_day").distinct(), "_day", "left_semi").select(*keys))
         for name, rows in (("on_time", seen.where("NOT _late")), ("late", seen.where("_late"))):
-            rows.join(known, list(keys), "left_anti").select(*columns, "_day").withColumn("batch", F.lit(number)) \
+            # days share tasks, so a day is one file of the batch unless it is too large for one
+            rows.join(known, list(keys), "left_anti").select(*columns, "_day").withColumn("batch", F.lit(number)).hint("rebalance", "_day") \
                 .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch", "_day").parquet(f"{root}/{name}")
         now = batch.groupBy(key).agg(F.max("ts").alias("_mark"))
         now.unionByName(before.select(key, "_mark")).groupBy(key).agg(F.max("_mark").alias("_mark")) \
@@ -123,6 +125,13 @@ def split_late(stream: DataFrame, root: str, delay: str, checkpoint: str, arriva
             .trigger(availableNow=True).start())
 
 
+def read_split(spark: SparkSession, root: str, schema: T.StructType) -> DataFrame:
+    """The ticks that ``split_late`` stored, with ``late``; either table may have no file yet."""
+    parts = [store.read_table(spark, f"{root}/{name}", schema).select(*schema.names).withColumn("late", F.lit(late))
+             for name, late in (("on_time", False), ("late", True))]
+    return parts[0].unionByName(parts[1])
+
+
 def number_arrivals(batch: DataFrame, key: str, arrival: str) -> DataFrame:
     """``bar_no`` by arrival within a key: the layout that running values are made in."""
     from ..operators.series import number_bars

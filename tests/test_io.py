@@ -208,6 +208,37 @@ def test_late_rows_go_aside(spark):
         assert stored() == [sorted({i for _, i, _ in hours} - late), sorted(late)]
 
 
+def test_no_late_rows(spark):
+    """Ticks so dense that none is late: the table of late ones has no file, the query is still the whole table."""
+    import duckdb
+    from barloom.plans import ORACLES, QUERIES
+    from compare import check
+    sf = folder()
+    spark.range(900).selectExpr("id AS event_id", "timestamp_ntz '2024-01-01 00:00:00' + make_dt_interval(0, 0, 0, id * 0.25) AS ts",
+                                "if(id % 2 = 0, 'view', 'click') AS event_type", "CAST(id % 7 AS double) AS value").write.parquet(f"{sf}/events.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW events AS SELECT * FROM '{sf}/events.parquet/*.parquet'")
+    ok, message = check(spark, con, "r7_late_ticks", QUERIES["r7_late_ticks"], ORACLES["r7_late_ticks"], sf)
+    assert ok, message
+
+
+def test_late_split_writes_a_file_a_day(spark):
+    """Small days are one file of a batch each, however many tasks had their rows."""
+    src, root = folder() + "/s", folder()
+    schema = "symbol string, tick_id long, ts timestamp, price double"
+    ticks = spark.range(900).selectExpr("'A' AS symbol", "id AS tick_id", "timestamp '2024-01-01 00:00:00' + make_dt_interval(0, 0, 0, id * 864) AS ts", "1.0D AS price")
+    ticks.repartition(6).write.parquet(src)
+    coalesce = "spark.sql.adaptive.coalescePartitions.enabled"
+    spark.conf.set(coalesce, "false")                                # else so few rows are one task anyway
+    try:
+        W.split_late(spark.readStream.schema(schema).parquet(src), root, "90 minutes", f"{root}/c").awaitTermination()
+    finally:
+        spark.conf.set(coalesce, "true")
+    files = [f for _, _, names in os.walk(f"{root}/on_time") for f in names if f.endswith(".parquet")]
+    got = W.read_split(spark, root, spark.read.parquet(src).schema)
+    assert len(files) == 9 and got.count() == 900 and got.where("late").isEmpty()
+
+
 def test_classification_without_cross_join(spark):
     df = spark.createDataFrame([(1, "Apple Inc"), (2, "gold"), (3, "Zed")], "row_id long, name string")
     cls = spark.createDataFrame([(5, "apple", "Tech"), (1, "Gold bars", "Metal")], "cls_id long, name string, category string")
