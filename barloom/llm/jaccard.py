@@ -6,7 +6,11 @@
    Most texts have enough n-grams that no other class has, so nothing of them is left here.  A quarter of all
    n-grams is enough to count for sets of over ``SMALL``; smaller sets have an order of their own, which counts
    all of theirs, and sets of a size that both kinds can be like are in both.
-3. Classes that share such an n-gram form a candidate group (``components`` over stars, never pairs).
+3. Classes that share such an n-gram form a candidate group (``components`` over stars, never pairs).  A passage
+   that many texts hold chains them to groups that grow with the table, so groups are narrowed: what two sets
+   share is at most what they share of the counted n-grams and all that the smaller rest could add.  Pairs for
+   which that is too little are left out, by the n-grams that step 2 has kept and without the texts; what the
+   other pairs join is a group.  A group too large for a task is cut into chunks here, each to meet each.
 4. A group's sets, common n-grams first, go into a prefix tree.  A set walks down the tree; what it shares with
    a path is counted once for all sets below; a subtree is left when its lengths, or what remains of the set or
    of the path, cannot reach the overlap needed, or when all below is already known to be in its component.
@@ -277,6 +281,9 @@ def _named(docs: DataFrame, width: int, percent: int, task_grams: int) -> tuple[
     first = prefixes.groupBy("token").agg(F.min("key").alias("first"))
     groups = components(prefixes.join(first, "token").select(F.col("key").alias("a"), F.col("first").alias("b"))) \
         .select(F.col("node").alias("key"), F.col("component").alias("group"))
+    groups = components(cut(_near(_units(shared, groups, classes), percent, -(-task_grams // SHARE)))).select(F.col("node").alias("key"), F.col("component").alias("group"))
+    del shared, prefixes, first
+    release(docs.sparkSession)
 
     # their sets, from one text a class
     wanted = cut(groups.join(classes, "key").select("key", "group", "n", F.col("one.id").alias("_id"), F.col("one.text_hash").alias("text_hash")))
@@ -304,6 +311,58 @@ def _prefixes(shared: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
         .union(shared.where("late").select("token", "key"))
 
 
+def _units(shared: DataFrame, groups: DataFrame, classes: DataFrame) -> DataFrame:
+    """group, key, n, spare (n-grams that are not counted), tokens (shared ones) of each class in each order it is in."""
+    small = F.col("small")
+    of = groups.join(classes, "key").select("key", "group", "n", "counted")
+    return shared.join(of, "key").groupBy("key", "small", "group", "n", "counted").agg(F.collect_list("token").alias("tokens")) \
+        .select(F.when(small, F.bitwise_not("group")).otherwise(F.col("group")).alias("group"), "key", "n",
+                F.when(small, 0).otherwise(F.col("n") - F.col("counted")).alias("spare"), "tokens")
+
+
+def near_pairs(keys: np.ndarray, sets: list[np.ndarray], n: np.ndarray, spare: np.ndarray, left: np.ndarray, right: np.ndarray, percent: int) -> list[tuple[int, int]]:
+    """Pairs of ``left`` and ``right`` members that may be similar enough, enough to join what such pairs join.
+
+    ``sets``: counted n-grams of each member, of ``n`` that it has; ``spare`` of those are not counted.
+    """
+    inner = np.flatnonzero(right)
+    tokens = np.concatenate([sets[i] for i in inner]) if len(inner) else np.zeros(0, np.int64)
+    owner = np.repeat(inner, [len(sets[i]) for i in inner])
+    order = np.argsort(tokens, kind="stable")
+    tokens, owner = tokens[order], owner[order]
+    part = np.arange(len(keys))
+    made: list[tuple[int, int]] = []
+    for i in np.flatnonzero(left).tolist():
+        start = np.searchsorted(tokens, sets[i], "left")
+        count = np.searchsorted(tokens, sets[i], "right") - start
+        place = np.repeat(start - (np.cumsum(count) - count), count) + np.arange(count.sum())
+        common = np.bincount(owner[place], minlength=len(keys))
+        j = np.flatnonzero(common)
+        need = -(-percent * (n[i] + n[j]) // (100 + percent)) - np.minimum(spare[i], spare[j])
+        j = j[(common[j] >= need) & (100 * np.minimum(n[i], n[j]) >= percent * np.maximum(n[i], n[j])) & (part[j] != part[i])]
+        for k in j.tolist():
+            if part[k] != part[i]:
+                part[part == part[k]] = part[i]
+                made.append((int(keys[i]), int(keys[k])))
+    return made
+
+
+def _near(units: DataFrame, percent: int, task_tokens: int) -> DataFrame:
+    """a, b of pairs that join all members of a group between which a link can be."""
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        made = near_pairs(pdf["key"].to_numpy(), [np.asarray(t) for t in pdf["tokens"]], pdf["n"].to_numpy(), pdf["spare"].to_numpy(),
+                          pdf["left"].to_numpy(bool), pdf["right"].to_numpy(bool), percent)
+        return pd.DataFrame(made, columns=["a", "b"], dtype="int64")
+    units = cut(units)
+    chunks_of = units.groupBy("group").agg(F.ceil(F.sum(F.size("tokens")) / task_tokens).alias("chunks"))
+    dealt = units.join(chunks_of, "group").withColumn("chunk", F.pmod(F.xxhash64("key"), F.col("chunks"))) \
+        .withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)))
+    low, high = F.least("chunk", "other"), F.greatest("chunk", "other")
+    rows = dealt.select("group", (low * F.col("chunks") + high).alias("task"), "key", "n", "spare", (F.col("chunk") == low).alias("left"),
+                        (F.col("chunk") == high).alias("right"), "tokens")
+    return rows.repartition(partitions(rows.sparkSession), "group", "task").groupBy("group", "task").applyInPandas(run, "a long, b long")
+
+
 def _sets(texts: DataFrame, width: int) -> DataFrame:
     """key, group, chunk, chunks, grams (64-bit hashes, packed) of texts that have the key of their class."""
     def run(batches):

@@ -152,6 +152,57 @@ def test_jaccard(monkeypatch, messy, nothing, width, percent, task_grams, small)
         assert jaccard.jaccard_components(nothing).count() == 0
 
 
+def test_chained_texts_are_no_group(monkeypatch, spark):
+    """Passages chain texts that are otherwise different; only those that may link are fetched and compared."""
+    import random
+
+    from barloom.llm import jaccard
+    rng = random.Random(7)
+    some = lambda k: [f"w{rng.getrandbits(40):x}" for _ in range(k)]
+    passages = [some(40) for _ in range(16)]
+    texts = [passages[i % 8] + some(90) + passages[8 + i // 8] for i in range(60)]
+    texts += [t[:-3] + some(3) for t in texts[:4]]
+    got = {}
+    joined = jaccard._joined
+
+    def counted(rows, percent):
+        got.setdefault("sent", []).extend((r.key, r.n) for r in rows.select("key", (F.length("grams") / 8).alias("n")).collect())
+        return joined(rows, percent)
+    monkeypatch.setattr(jaccard, "_joined", counted)
+    docs = spark.createDataFrame(list(enumerate(map(" ".join, texts))), "doc_id long, text string").repartition(3)
+    rows = jaccard.jaccard_components(docs, 4, 80, 1000).collect()
+    assert {r.doc_id: r.component_id for r in rows} == {i: i - 60 if i >= 60 else i for i in range(64)}
+    assert len({k for k, _ in got["sent"]}) == 8 and sum(n for _, n in got["sent"]) < 2 * 8 * 170
+
+
+def test_near_pairs_random():
+    """Pairs that the counted n-grams alone do not rule out, against all pairs; none that links is lost."""
+    from barloom.llm.jaccard import near_pairs
+    rng = np.random.default_rng(11)
+    base = [np.unique(rng.integers(0, 10**6, rng.integers(20, 200))) for _ in range(12)]
+    sets = [np.unique(np.concatenate([b[rng.random(len(b)) < 0.96], rng.integers(0, 10**6, rng.integers(0, 9))])) for b in base for _ in range(6)]
+    n, keys = np.array([len(s) for s in sets]), np.arange(len(sets)) * 7
+    counted = [s[s % 4 == 0] for s in sets]
+    spare = n - np.array([len(c) for c in counted])
+    left, right = rng.random(len(sets)) < 0.7, rng.random(len(sets)) < 0.7
+    part = {k: k for k in keys.tolist()}
+    for a, b in near_pairs(keys, counted, n, spare, left, right, 80):
+        part = {k: part[b] if v == part[a] else v for k, v in part.items()}
+    want = {k: k for k in keys.tolist()}
+    links = 0
+    for i in np.flatnonzero(left):
+        for j in np.flatnonzero(right):
+            both, one = len(np.intersect1d(sets[i], sets[j])), len(np.intersect1d(counted[i], counted[j]))
+            if i != j and one and one >= -(-80 * (n[i] + n[j]) // 180) - min(spare[i], spare[j]) and 100 * min(n[i], n[j]) >= 80 * max(n[i], n[j]):
+                a, b = want[keys[i]], want[keys[j]]
+                want = {k: b if v == a else v for k, v in want.items()}
+            if i != j and both and 100 * both >= 80 * (n[i] + n[j] - both):
+                links += 1
+                assert part[keys[i]] == part[keys[j]]
+    groups = lambda p: sorted(sorted(k for k in p if p[k] == v) for v in set(p.values()))
+    assert links > 20 and groups(part) == groups(want)
+
+
 def test_tree_join_random():
     from barloom.llm.jaccard import join_group
     rng = np.random.default_rng(1)
